@@ -2,5 +2,5 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-SQL: dict = {}
+from .plans import search  # noqa: F401  registers its queries
+from .plans.registry import QUERIES, SQL  # noqa: F401
