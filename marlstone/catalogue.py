@@ -2,5 +2,5 @@
 
 from __future__ import annotations
 
-from .plans import search  # noqa: F401  registers its queries
+from .plans import lake, search  # noqa: F401  they register their queries
 from .plans.registry import QUERIES, SQL  # noqa: F401

@@ -21,7 +21,7 @@ def glob_regex(glob: Column) -> Column:
 
 def glob_match(value: Column, glob: Column | str) -> Column:
     glob = F.lit(glob) if isinstance(glob, str) else glob
-    return (glob == "*") | value.rlike(glob_regex(glob))
+    return (glob == "*") | F.regexp_like(value, glob_regex(glob))
 
 
 def event_type_match(event_type: Column, pattern: Column) -> Column:
