@@ -29,7 +29,7 @@ from ..sources.tables import table
 from . import common
 
 #: Documents of a source that one hash range holds on average.
-RANGE_ROWS = 20_000
+RANGE_ROWS = 2_000
 
 
 def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -133,13 +133,11 @@ def mixed_documents(docs: DataFrame, **params) -> DataFrame:
     share one decision each; a document of no words is left out, since the mix takes none of it."""
     cols = docs.columns
     decided = mix(docs, **params)
-    # Repeated rows of an id: decisions and rows are both numbered within the id, longest first.
-    rank = lambda size: Window.partitionBy("__id").orderBy(size.desc())
     d = decided.select(F.col("doc_id").alias("__id"), F.col("source").alias("__src"), "size", "copies", "part").where((F.col("copies") > 0) | (F.col("part") > 0))
-    d = d.groupBy("__id", "__src", "size").agg(F.sum("copies").alias("__copies"), F.max("part").alias("__part"), F.count("*").alias("__n"))
+    d = d.groupBy("__id", "__src", F.col("size").alias("__size")).agg(F.sum("copies").alias("__copies"), F.max("part").alias("__part"), F.count("*").alias("__n"))
     words = F.size(F.filter(F.split(F.coalesce(F.col("text"), F.lit("")), "[ \\t-\\r]+"), lambda w: w != "")).cast("long")
     rows = docs.withColumn("__w", words)
-    joined = rows.join(d, rows["doc_id"].eqNullSafe(d["__id"]) & rows["source"].eqNullSafe(d["__src"]) & (rows["__w"] == d["size"]))
+    joined = rows.join(d, rows["doc_id"].eqNullSafe(d["__id"]) & rows["source"].eqNullSafe(d["__src"]) & (rows["__w"] == d["__size"]))
     # Equal rows share their copies evenly, the first of them by chance of the order gets what is left.
     out = joined.select(*[F.col(f"`{c}`") for c in cols], F.ceil(F.col("__copies") / F.col("__n")).cast("long").alias("__copies"), F.col("__part").cast("long").alias("__part"))
     return out.mapInArrow(_repeat, docs.schema)

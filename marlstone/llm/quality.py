@@ -12,7 +12,8 @@ by a hash of their id); its feature numbers, not its texts, come to the driver,
 from the others (chi-square) get their weights. Scoring reads every document whole and has no sample.
 
 Defined results: null and empty texts have no features and get the thresholds' own probabilities; ratings with a null are not used;
-without any rating, or with a single grade, the thresholds are smoothed shares of the grades; repeated rows give repeated rows; other
+without any rating
+every document has the top grade, and with a single grade the thresholds are smoothed shares of the grades; repeated rows give repeated rows; other
 columns are ignored or, by ``selected``, kept.
 """
 
@@ -102,6 +103,8 @@ class Model:
 
 def fit(rows: list[tuple[int, list[int]]], rounds: int = 400, ridge: float = 0.004) -> Model:
     """The model of (grade, features) rows: penalized maximum likelihood by full-batch Adam, the same for the same rows."""
+    if not rows:
+        return Model(np.zeros(0, np.int64), np.zeros(0), np.full(GRADES - 1, -50.0))
     y = np.array([g for g, _ in rows], np.int64)
     shares = (np.bincount(y, minlength=GRADES) + 1.0) / (len(y) + GRADES)
     below = np.clip(np.cumsum(shares)[:-1], 1e-6, 1 - 1e-6)

@@ -28,6 +28,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..sources.tables import table
 from . import common
@@ -226,24 +227,41 @@ def near_links(prints: DataFrame, radius: int = RADIUS) -> DataFrame:
     return dealt.repartition(n, "bucket", "part").sortWithinPartitions("bucket", "part").mapInArrow(_link_batches(radius), "u long, v long")
 
 
+def _components(prints: DataFrame, radius: int) -> DataFrame:
+    """(fp, least, root) for each distinct fingerprint of a written table (doc_id, fp); least is its least id."""
+    nodes, _ = common.written(prints.groupBy("fp").agg(F.min("doc_id").alias("least")))
+    roots = connected_components(near_links(nodes.select("fp"), radius))
+    return nodes.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
     """(doc_id, fp, component_id) for every row."""
     prints, _ = common.written(fingerprints(docs, id_col, text_col, shingle))
-    nodes, _ = common.written(prints.groupBy("fp").agg(F.min("doc_id").alias("least")))
-    roots = connected_components(near_links(nodes.select("fp"), radius))
-    named = nodes.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
+    named = _components(prints, radius)
     # One row per fingerprint, so these sums and joins never see the copies.
     component = named.groupBy("root").agg(F.min("least").alias("component_id"))
     named = named.join(component, "root").select(F.col("fp").alias("n_fp"), "component_id")
     return prints.join(named, F.col("fp") == F.col("n_fp")).select("doc_id", "fp", "component_id")
 
 
-def deduplicated(docs: DataFrame, **params) -> DataFrame:
-    """The documents, with their own columns, that have their component's least id. Repeated rows of that id stay once."""
-    cols = docs.columns
-    keep = near_duplicates(docs, **params).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__kept")).distinct()
-    kept = docs.join(keep, docs["doc_id"].eqNullSafe(F.col("__kept")), "left_semi")
-    return kept.dropDuplicates(["doc_id"]).select(*[F.col(f"`{c}`") for c in cols])
+def _with_fingerprint(at: int, shingle: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            prints = np.array([fingerprint((x.as_py() or "").encode(), shingle) for x in b.column(at)], np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(prints)], [*b.schema.names, "__fp"])
+
+    return run
+
+
+def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
+    """One row, with its own columns, of each component: that of the least id (rows without id come last), once where it is repeated."""
+    prints, _ = common.written(fingerprints(docs, id_col, text_col, shingle))
+    named = _components(prints, radius).withColumn("first", F.struct(F.col("least").isNull().alias("none"), "least", "fp"))
+    keep = named.groupBy("root").agg(F.min("first").alias("k")).select(F.col("k.least").alias("__kept"), F.col("k.fp").alias("__kept_fp"))
+    schema = T.StructType([*docs.schema.fields, T.StructField("__fp", T.LongType())])
+    rows = docs.mapInArrow(_with_fingerprint(docs.columns.index(text_col), shingle), schema)
+    kept = rows.join(keep, rows[id_col].cast("long").eqNullSafe(F.col("__kept")) & (rows["__fp"] == F.col("__kept_fp")), "left_semi")
+    return kept.dropDuplicates([id_col, "__fp"]).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def op4_simhash(spark, sf_dir: str) -> DataFrame:
