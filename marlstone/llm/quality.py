@@ -27,6 +27,7 @@ from operator import eq
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -101,19 +102,22 @@ class Model:
         return 1 / (1 + np.exp(np.clip(self.thresholds - x, -500, 500)))
 
 
-def fit(rows: list[tuple[int, list[int]]], rounds: int = 400, ridge: float = 0.004) -> Model:
-    """The model of (grade, features) rows: penalized maximum likelihood by full-batch Adam, the same for the same rows."""
-    if not rows:
+def fit(rows: list[tuple[int, list[int]]], **options) -> Model:
+    """The model of (grade, features) rows."""
+    flat = np.concatenate([np.array(f, np.int64) for _, f in rows if f] or [np.zeros(0, np.int64)])
+    return fit_arrays(np.array([g for g, _ in rows], np.int64), np.array([len(f) for _, f in rows], np.int64), flat, **options)
+
+
+def fit_arrays(y: np.ndarray, lengths: np.ndarray, flat: np.ndarray, rounds: int = 400, ridge: float = 0.004) -> Model:
+    """Penalized maximum likelihood by full-batch Adam, the same for the same rows; ``flat`` holds the rows' features one after the other."""
+    if not len(y):
         return Model(np.zeros(0, np.int64), np.zeros(0), np.full(GRADES - 1, -50.0))
-    y = np.array([g for g, _ in rows], np.int64)
     shares = (np.bincount(y, minlength=GRADES) + 1.0) / (len(y) + GRADES)
     below = np.clip(np.cumsum(shares)[:-1], 1e-6, 1 - 1e-6)
     start = np.log(below / (1 - below))
-    if len(set(y.tolist())) < 2:
+    if len(np.unique(y)) < 2:
         return Model(np.zeros(0, np.int64), np.zeros(0), start)
-    lengths = np.array([len(f) for _, f in rows])
-    flat = np.concatenate([np.array(f, np.int64) for _, f in rows if f] or [np.zeros(0, np.int64)])
-    owner = np.repeat(np.arange(len(rows)), lengths)
+    owner = np.repeat(np.arange(len(y)), lengths)
     top = y == GRADES - 1
     docs = np.bincount(flat, minlength=BUCKETS).astype(float)
     in_top = np.bincount(flat[top[owner]], minlength=BUCKETS)
@@ -125,9 +129,8 @@ def fit(rows: list[tuple[int, list[int]]], rounds: int = 400, ridge: float = 0.0
     chosen = chosen[chi2[chosen] >= MIN_CHI2]
     place = np.full(BUCKETS, -1)
     place[chosen] = np.arange(len(chosen))
-    x = np.zeros((n, len(chosen)), np.float32)
     ok = place[flat] >= 0
-    x[owner[ok], place[flat[ok]]] = 1
+    row, col = owner[ok], place[flat[ok]]  # the places of the ones in the sparse matrix of rows by weights
     # Parameters: weights, the first threshold and the logarithms of the steps to the next ones.
     p = np.concatenate([np.zeros(len(chosen)), start[:1], np.log(np.maximum(np.diff(start), 1e-2))])
     m, v = np.zeros_like(p), np.zeros_like(p)
@@ -135,14 +138,14 @@ def fit(rows: list[tuple[int, list[int]]], rounds: int = 400, ridge: float = 0.0
     for i in range(1, rounds + 1):
         steps = np.exp(p[k + 1 :])
         theta = np.concatenate([[-np.inf], np.cumsum(np.concatenate([p[k : k + 1], steps])), [np.inf]])
-        score = x @ p[:k]
+        score = np.bincount(row, weights=p[col], minlength=n)
         upper, lower = (1 / (1 + np.exp(np.clip(score - theta[y + d], -500, 500))) for d in (1, 0))
         prob = np.maximum(upper - lower, 1e-12)
         du, dl = upper * (1 - upper) / prob, lower * (1 - lower) / prob
         grad_score = du - dl  # of the negative log likelihood
         grad_theta = np.array([(-du[y == j].sum() + dl[y == j + 1].sum()) for j in range(GRADES - 1)])
         tail = np.cumsum(grad_theta[::-1])[::-1]
-        g = np.concatenate([x.T @ grad_score + ridge * n * 0.01 * p[:k], tail[:1], tail[1:] * steps]) / n
+        g = np.concatenate([np.bincount(col, weights=grad_score[row], minlength=k) + ridge * n * 0.01 * p[:k], tail[:1], tail[1:] * steps]) / n
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
         p = p - 0.1 * (m / (1 - 0.9**i)) / (np.sqrt(v / (1 - 0.999**i)) + 1e-8)
     return Model(chosen, p[:k], np.cumsum(np.concatenate([p[k : k + 1], np.exp(p[k + 1 :])])))
@@ -150,7 +153,7 @@ def fit(rows: list[tuple[int, list[int]]], rounds: int = 400, ridge: float = 0.0
 
 def _feature_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        yield pa.RecordBatch.from_arrays([b.column(0), pa.array([features(x.as_py()) for x in b.column(1)], pa.list_(pa.int32()))], ["grade", "features"])
+        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([features(x.as_py()) for x in b.column(2)], pa.list_(pa.int32()))], ["r_id", "grade", "features"])
 
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE) -> Model:
@@ -159,10 +162,11 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     rated = rated.select(F.col("doc_id").cast("long").alias("r_id"), (F.col("quality").cast("int") + 1 - F.col("toxic").cast("int")).alias("grade")).where(F.col("grade").between(0, GRADES - 1))
     rated = rated.orderBy(F.xxhash64("r_id"), "r_id", "grade").limit(sample)  # the bound of what is broadcast and collected
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("text")).join(F.broadcast(rated), F.col("doc_id") == F.col("r_id"))
-    rows = rows.select("grade", "text").mapInArrow(_feature_batches, "grade int, features array<int>").limit(2 * sample)
-    got = rows.toArrow()
-    pairs = sorted(zip(got.column("grade").to_pylist(), got.column("features").to_pylist(), strict=True))
-    return fit(pairs)
+    rows = rows.select("r_id", "grade", "text").mapInArrow(_feature_batches, "r_id long, grade int, features array<int>").limit(2 * sample)
+    got = rows.toArrow().sort_by([("r_id", "ascending"), ("grade", "ascending")]).combine_chunks()
+    found = got.column("features").combine_chunks()
+    lengths = pa.compute.list_value_length(found).to_numpy(zero_copy_only=False).astype(np.int64)
+    return fit_arrays(got.column("grade").to_numpy().astype(np.int64), lengths, found.flatten().to_numpy().astype(np.int64))
 
 
 def _score_batches(model):
