@@ -36,8 +36,8 @@ from ..sources.tables import table
 from . import common
 
 CAPACITY = 2048
-#: Pieces that one hash range of a length holds on average.
-RANGE_ROWS = 20_000
+#: Pieces that one hash range of a length holds on average; a length that many pieces share has many ranges.
+RANGE_ROWS = 500
 #: Words of these characters only need no canonical composition, hold no white space and have plain lower case.
 _PLAIN = r"[!-~\xa1-\xac\xae-\u012f\u0131-\u024f]+"
 
@@ -206,8 +206,9 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     plan = schedule(histogram, capacity)
     cols = np.array(plan, np.int64).reshape(-1, 5).T
     shared = spark.sparkContext.broadcast(tuple(np.ascontiguousarray(c) for c in cols))
-    ranges = max(1, sum(histogram.values()) // RANGE_ROWS)
-    rows = pieces.withColumn("range", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(ranges)))
+    sizes = spark.createDataFrame([(k, -(-n // RANGE_ROWS)) for k, n in histogram.items()], "h_length long, ranges long")
+    rows = pieces.join(F.broadcast(sizes), F.col("length") == F.col("h_length"))
+    rows = rows.withColumn("range", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.col("ranges"))).drop("h_length", "ranges")
     per = rows.groupBy("length", "range").agg(F.count("*").alias("n"))
     before = Window.partitionBy("length").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
     per = per.select(F.col("length").alias("p_length"), F.col("range").alias("p_range"), F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
