@@ -163,7 +163,7 @@ def query_vector(spark, sf_dir: str) -> list[float]:
 _E = "list_transform(embedding, lambda x: x::DOUBLE)"
 _Q = f"v AS (SELECT vec_id, label, {_E} AS e FROM embeddings), q AS (SELECT e AS qe FROM v ORDER BY vec_id LIMIT 1)"
 _NORM = "sqrt(list_dot_product({0}, {0}))"
-_COS = f"round(1 - list_dot_product(e, qe) / ({_NORM.format('e')} * {_NORM.format('qe')}), 6)"
+_COS = f"round(1 - list_dot_product(e, qe) / ({_NORM.format('e')} * {_NORM.format('qe')}), 6) + 0.0"
 _L2 = "round(list_sum(list_transform(list_zip(e, qe), lambda z: (z[1] - z[2]) * (z[1] - z[2]))), 6)"
 
 
@@ -178,7 +178,7 @@ def vec_knn_l2(spark, sf_dir):
     return knn.nearest(vecs(spark, sf_dir), query_vector(spark, sf_dir), metric="l2")
 
 
-@query("vec_knn_dot", f"WITH {_Q} SELECT vec_id, round(1 - list_dot_product(e, qe), 6) AS distance FROM v, q ORDER BY distance, vec_id LIMIT 10")
+@query("vec_knn_dot", f"WITH {_Q} SELECT vec_id, round(1 - list_dot_product(e, qe), 6) + 0.0 AS distance FROM v, q ORDER BY distance, vec_id LIMIT 10")
 def vec_knn_dot(spark, sf_dir):
     return knn.nearest(vecs(spark, sf_dir), query_vector(spark, sf_dir), metric="dot")
 
