@@ -17,4 +17,4 @@ QUERIES = {
     "op10_neighbours": vp_search.op10_neighbours,
 }
 
-SQL = {"op1_topk": exact_topk.SQL, "op9_mix": mixing.SQL}
+SQL = {"op1_topk": exact_topk.SQL, "op6_substrings": substring_dedup.SQL, "op9_mix": mixing.SQL}

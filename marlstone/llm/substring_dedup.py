@@ -274,4 +274,15 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
 
 def op6_substrings(spark, sf_dir: str) -> DataFrame:
-    return dedup_substrings(table(spark, sf_dir, "documents"))
+    return dedup_substrings(table(spark, sf_dir, "documents")).drop("n_factors")
+
+
+SQL = r"""
+WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+k AS (SELECT doc_id, s, md5(array_to_string(list_slice(ws, s, s + 19), ' ')) AS h FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 18)) AS s FROM w)),
+d AS (SELECT doc_id, s FROM k QUALIFY row_number() OVER (PARTITION BY h ORDER BY doc_id, s) > 1),
+c AS (SELECT DISTINCT doc_id, unnest(range(s, s + 20)) AS at FROM d),
+x AS (SELECT doc_id, ws[i] AS word, i FROM (SELECT doc_id, ws, unnest(range(1, len(ws) + 1)) AS i FROM w)),
+l AS (SELECT x.doc_id, string_agg(word, ' ' ORDER BY i) AS kept, count(*) AS n FROM x LEFT JOIN c ON x.doc_id = c.doc_id AND x.i = c.at WHERE c.at IS NULL GROUP BY x.doc_id)
+SELECT w.doc_id, len(ws)::BIGINT AS n_words, (len(ws) - coalesce(l.n, 0))::BIGINT AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM w LEFT JOIN l ON w.doc_id = l.doc_id
+"""
