@@ -20,8 +20,11 @@ def glob_regex(glob: Column) -> Column:
 
 
 def glob_match(value: Column, glob: Column | str) -> Column:
+    """The plain forms (any, a prefix and a star, no wildcard at all) need no regular expression."""
     glob = F.lit(glob) if isinstance(glob, str) else glob
-    return (glob == "*") | F.regexp_like(value, glob_regex(glob))
+    head = F.regexp_replace(glob, r"\*$", "")
+    plain = ~(head.contains("*") | head.contains("?"))
+    return F.when(glob == "*", True).when(plain & glob.endswith("*"), value.startswith(head)).when(plain, value == glob).otherwise(F.regexp_like(value, glob_regex(glob)))
 
 
 def event_type_match(event_type: Column, pattern: Column) -> Column:

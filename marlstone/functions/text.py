@@ -24,6 +24,29 @@ def tokens(text: Column, stop_words: Sequence[str] = STOP_WORDS) -> Column:
     return F.filter(runs, lambda t: (F.octet_length(t) > 1) & ~t.isin(*stop_words))
 
 
+_RUN = r"[\p{L}\p{Nd}]"
+
+
+def _by_first(words: Sequence[str]) -> str:
+    """A pattern for any of the words, one branch per first letter."""
+    groups: dict[str, list[str]] = {}
+    for w in words:
+        groups.setdefault(w[0], []).append(quoted(w[1:]))
+    return "|".join(f"{quoted(c)}(?:{'|'.join(sorted(rest, reverse=True))})" for c, rest in sorted(groups.items()))
+
+
+def token_count(text: Column, stop_words: Sequence[str] = STOP_WORDS) -> Column:
+    """The number of :func:`tokens`, counted by one pattern: no list of tokens is filtered element by element."""
+    dropped = f"(?:{_by_first(stop_words)}|[0-9a-z])" if stop_words else "[0-9a-z]"
+    return F.regexp_count(F.lower(F.coalesce(text, F.lit(""))), F.lit(f"(?<!{_RUN})(?!{dropped}(?!{_RUN})){_RUN}++"))
+
+
+def term_count(text: Column, term: str) -> Column:
+    """How often a token occurs; texts without it are told apart by a plain substring search."""
+    low = F.lower(F.coalesce(text, F.lit("")))
+    return F.when(low.contains(term), F.regexp_count(low, F.lit(f"(?<!{_RUN}){quoted(term)}(?!{_RUN})"))).otherwise(0)
+
+
 def query_tokens(text: str, stop_words: Sequence[str] = STOP_WORDS) -> list[str]:
     """The distinct tokens of a query string, in order of appearance, by the rules of :func:`tokens`."""
     out: dict[str, None] = {}

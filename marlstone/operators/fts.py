@@ -7,6 +7,8 @@ that of one row of statistics per task and the top-k merge."""
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -39,27 +41,22 @@ def document_frequencies(docs: DataFrame, text_col: str = "text", stop_words: Se
 
 def statistics(docs: DataFrame, text_col: str = "text", stop_words: Sequence[str] = T.STOP_WORDS) -> DataFrame:
     """(n_docs, avg_length, n_terms) (AGG-03, FTS-09)."""
-    size = F.size(T.tokens(F.col(text_col), stop_words))
-    return docs.select(size.alias("dl")).agg(F.count("*").alias("n_docs"), F.avg("dl").alias("avg_length"), F.sum("dl").alias("n_terms"))
-
-
-def _is(term: str):
-    return lambda x: x == term
+    return docs.select(T.token_count(F.col(text_col), stop_words).alias("dl")).agg(F.count("*").alias("n_docs"), F.avg("dl").alias("avg_length"), F.sum("dl").alias("n_terms"))
 
 
 def scored(docs: DataFrame, terms: Sequence[str], id_cols: Sequence[str], text_col: str = "text", keep: Sequence[str] = (), where: Column | None = None, stop_words: Sequence[str] = T.STOP_WORDS, k1: float = 1.2, b: float = 0.75) -> DataFrame:
     """(ids, keep, score) of the documents with a term (FTS-05): any term may match and scores add up. N, df and average length are the whole
-    corpus's; ``where`` limits what is returned."""
-    found = T.tokens(F.col(text_col), stop_words)
-    counted = docs.select(*id_cols, *keep, found.alias("__tokens")).select(
-        *id_cols, *keep, F.size("__tokens").alias("__dl"), *[F.size(F.filter("__tokens", _is(t))).alias(f"__tf{i}") for i, t in enumerate(terms)]
-    )
-    tfs = [F.col(f"__tf{i}") for i in range(len(terms))]
+    corpus's; ``where`` limits what is returned. Lengths of documents without a term are computed once, for the average, and no tokens are listed."""
+    text = F.col(text_col)
+    tf = [T.term_count(text, t) for t in terms]
+    length = T.token_count(text, stop_words)
     # One row: the statistics, broadcast to the scan.
-    stats = counted.agg(F.count("*").alias("__n"), F.avg("__dl").alias("__avg"), *[F.count(F.when(tf > 0, 1)).alias(f"__df{i}") for i, tf in enumerate(tfs)])
-    hits = counted.where(sum(tfs[1:], tfs[0]) > 0) if tfs else counted.where(F.lit(False))
+    stats = docs.select(length.alias("__dl"), *[c.alias(f"__tf{i}") for i, c in enumerate(tf)])
+    stats = stats.agg(F.count("*").alias("__n"), F.avg("__dl").alias("__avg"), *[F.count(F.when(F.col(f"__tf{i}") > 0, 1)).alias(f"__df{i}") for i in range(len(terms))])
+    hits = docs.where(reduce(or_, [c > 0 for c in tf])) if tf else docs.where(F.lit(False))
     hits = hits.where(where) if where is not None else hits
-    score = sum((T.bm25(tf, F.col(f"__df{i}"), F.col("__dl"), F.col("__n"), F.col("__avg"), k1, b) for i, tf in enumerate(tfs)), F.lit(0.0))
+    hits = hits.select(*id_cols, *keep, length.alias("__dl"), *[c.alias(f"__tf{i}") for i, c in enumerate(tf)])
+    score = sum((T.bm25(F.col(f"__tf{i}"), F.col(f"__df{i}"), F.col("__dl"), F.col("__n"), F.col("__avg"), k1, b) for i in range(len(terms))), F.lit(0.0))
     return hits.join(F.broadcast(stats)).select(*id_cols, *keep, F.round(score, 6).alias("score"))
 
 
