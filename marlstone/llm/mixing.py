@@ -135,7 +135,7 @@ def mixed_documents(docs: DataFrame, **params) -> DataFrame:
     decided = mix(docs, **params)
     d = decided.select(F.col("doc_id").alias("__id"), F.col("source").alias("__src"), "size", "copies", "part").where((F.col("copies") > 0) | (F.col("part") > 0))
     d = d.groupBy("__id", "__src", F.col("size").alias("__size")).agg(F.sum("copies").alias("__copies"), F.max("part").alias("__part"), F.count("*").alias("__n"))
-    words = F.size(F.filter(F.split(F.coalesce(F.col("text"), F.lit("")), "[ \\t-\\r]+"), lambda w: w != "")).cast("long")
+    words = F.regexp_count(F.coalesce(F.col("text"), F.lit("")), F.lit("[^ \\t-\\r]+")).cast("long")
     rows = docs.withColumn("__w", words)
     joined = rows.join(d, rows["doc_id"].eqNullSafe(d["__id"]) & rows["source"].eqNullSafe(d["__src"]) & (rows["__w"] == d["__size"]))
     # Equal rows share their copies evenly, the first of them by chance of the order gets what is left.
