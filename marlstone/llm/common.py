@@ -54,15 +54,27 @@ def partitions(spark: SparkSession) -> int:
 
 class WordMemo:
     """Memo of a pure function of a word in two generations of at most ``cap`` words each, so a
-    worker's memory is bounded whatever the vocabulary. ``many`` computes a set of new words."""
+    worker's memory is bounded whatever the vocabulary. ``many`` computes a set of new words.
 
-    def __init__(self, many: Callable[[Iterable], dict], cap: int = 200_000):
-        self.many, self.cap = many, cap
+    A worker serves one operator after the other, and only the one at work keeps its memos: the first use by another
+    ``owner`` empties them."""
+
+    active = ""
+    every: list[WordMemo] = []
+
+    def __init__(self, many: Callable[[Iterable], dict], cap: int = 200_000, owner: str = "one"):
+        self.many, self.cap, self.owner = many, cap, owner
         self.new: dict = {}
         self.old: dict = {}
+        WordMemo.every.append(self)
 
     def table(self, words: list) -> dict:
         """A dict that holds every word of ``words``."""
+        if WordMemo.active != self.owner:
+            WordMemo.active = self.owner
+            for m in WordMemo.every:
+                if m.owner != self.owner:
+                    m.new, m.old = {}, {}
         if len(self.new) > self.cap:
             self.old, self.new = self.new, {}
         new, old = self.new, self.old

@@ -47,7 +47,7 @@ NO_ID = (1 << 63) - 1
 
 _BASES = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93))
 _powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-_hashes = common.WordMemo(lambda words: {w: xxhash.xxh64_intdigest(w, 7) for w in words}, 250_000)
+_hashes = common.WordMemo(lambda words: {w: xxhash.xxh64_intdigest(w, 7) for w in words}, 250_000, "substrings")
 
 INDEX_SCHEMA = "h long, dkey long, start int, n int, checks binary, src long, src_start int"
 _INDEX = pa.schema([("h", pa.int64()), ("dkey", pa.int64()), ("start", pa.int32()), ("n", pa.int32()), ("checks", pa.binary()), ("src", pa.int64()), ("src_start", pa.int32())])

@@ -47,7 +47,7 @@ class Counter:
         for p in pieces:
             self.lengths.setdefault(p[-1], set()).add(len(p))
         self.lengths = {c: tuple(sorted(v)) for c, v in self.lengths.items()}
-        self.memo = common.WordMemo(self.counts, 400_000)
+        self.memo = common.WordMemo(self.counts, 400_000, "token_counts")
 
     def counts(self, words: Iterable[bytes]) -> dict[bytes, int]:
         """Token counts of distinct words. The words in order are a walk through their trie: the path to the

@@ -503,3 +503,6 @@ def test_memo_is_bounded_and_right():
         t = m.table(ws)
         assert all(t[w] == len(w) for w in ws)
         assert len(m.new) <= 18 and len(m.old) <= 18
+    other = common.WordMemo(lambda ws: dict.fromkeys(ws, 0), owner="other")
+    assert other.table(["a"]) == {"a": 0} and not m.new and not m.old
+    assert m.table(["abc"]) == {"abc": 3} and not other.new
