@@ -64,8 +64,8 @@ class _WordEncoder:
         shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
         rest = [b for b in range(256) if b not in set(shown)]
         self.shown = {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(rest)}
-        self.pieces = common.WordMemo(self._pieces, 250_000, "packing")
-        self.words = common.WordMemo(self._words, 400_000, "packing")
+        self.pieces = common.WordMemo(self._pieces, 200_000, "packing")
+        self.words = common.WordMemo(self._words, 300_000, "packing")
 
     def _pieces(self, pieces):
         out = {}
