@@ -200,3 +200,21 @@ def sensitive_equal(a: Column, b: Column) -> Column:
 
 def truncated_sum(x: Column) -> Column:
     return F.round(x, 6)
+
+
+def resource_name(bucket: Column, key: Column, prefix: str = "arn:aws:s3:::") -> Column:
+    """SCL-12: without a key, the bucket's own name."""
+    return F.when(F.coalesce(key, F.lit("")) == "", F.concat(F.lit(prefix), bucket)).otherwise(F.concat(F.lit(prefix), bucket, F.lit("/"), key))
+
+
+def resource_parts(arn: Column, prefix: str = "arn:aws:s3:::") -> tuple[Column, Column]:
+    """SCL-12: (bucket, key); both empty for names of another kind."""
+    rest = F.when(arn.startswith(prefix), F.substring(arn, len(prefix) + 1, 2**31 - 1)).otherwise("")
+    bucket = F.substring_index(rest, "/", 1)
+    return bucket, F.substring(rest, F.length(bucket) + 2, F.lit(2**31 - 1))
+
+
+def shard_sizes(size: Column, data_shards: int = 4) -> tuple[Column, Column]:
+    """SNK-13: (bytes of one shard, padding of the last) for content with its 8-byte length before it."""
+    one = F.ceil((size + 8) / data_shards)
+    return one, one * data_shards - size - 8

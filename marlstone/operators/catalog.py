@@ -18,6 +18,13 @@ def list_objects(objects: DataFrame, bucket: str, prefix: str = "", start_after:
     return rows.orderBy("key").limit(max_keys)
 
 
+def get_object(objects: DataFrame, where: dict) -> DataFrame:
+    """The rows with exactly these values (SRC-01); the equalities reach the scan. No such object is no row."""
+    for c, v in where.items():
+        objects = objects.where(F.col(c) == F.lit(v))
+    return objects
+
+
 def list_page(objects: DataFrame, bucket: str, prefix: str = "", start_after: str = "", max_keys: int = 1000) -> DataFrame:
     """One page with its truncation flag and next marker on each row (LST-02): one row more than the page is read."""
     rows = list_objects(objects, bucket, prefix, start_after, max_keys + 1)

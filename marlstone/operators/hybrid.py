@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -24,3 +24,8 @@ def fuse(text_hits: DataFrame, vector_hits: DataFrame, ids: Sequence[str], k: in
     both = text_hits.select(*ids, "text_rank").join(vector_hits.select(*ids, "vector_rank"), list(ids), "full")
     score = F.round(part("text_rank", weights[0]) + part("vector_rank", weights[1]), 6)
     return both.select(*ids, "text_rank", "vector_rank", score.alias("score")).orderBy(F.desc("score"), *ids).limit(k)
+
+
+def rrf(rank: Column, constant: int = 60) -> Column:
+    """FTS-15: 1 / (constant + rank), which counts from zero; ``fuse`` adds one more."""
+    return F.lit(1.0) / (rank + constant)

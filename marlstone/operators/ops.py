@@ -89,3 +89,20 @@ def scrubbed(objects: DataFrame, tiers: Sequence[str] = ()) -> DataFrame:
     rows = objects.where(F.col("tier").isin(*tiers)) if tiers else objects
     bad = F.col("content").isNotNull() & (F.sha2("content", 256) != F.col("checksum"))
     return rows.agg(F.count("*").alias("checked"), F.sum(bad.cast("long")).alias("corrupt"), F.sum(F.col("content").isNull().cast("long")).alias("unreadable"))
+
+
+def rejections(calls: DataFrame, level: str, caller: str) -> DataFrame:
+    """(level, calls, callers): AGG-23. Calls by the level that refused them, or that none did."""
+    return calls.groupBy(level).agg(F.count("*").alias("calls"), F.count_distinct(caller).alias("callers"))
+
+
+def executions(rows: DataFrame, bucket: str = "", object_key: str = "") -> DataFrame:
+    """FLT-21: an empty bucket or key means any."""
+    for c, v in (("bucket", bucket), ("object_key", object_key)):
+        rows = rows.where(F.col(c) == v) if v else rows
+    return rows
+
+
+def newest(rows: DataFrame, order: Sequence[str], n: int) -> DataFrame:
+    """The n last rows by ``order``, the last first (INT-02, TOP-11): a top-k, without a full sort."""
+    return rows.orderBy(*[F.desc(c) for c in order]).limit(n)

@@ -116,3 +116,10 @@ def evaluate(requests: DataFrame, statements: DataFrame, request_id: str = "requ
         decision = F.when(test, F.lit(result)).otherwise(decision)
         by = F.when(test, F.concat(F.lit(kind + ":"), F.col(f"{source}.sid")) if source else F.lit(kind)).otherwise(by)
     return per.select(request_id, decision.alias("decision"), by.alias("matched_by"))
+
+
+def evaluate_temporary(requests: DataFrame, statements: DataFrame, inline: DataFrame, request_id: str = "request_id") -> DataFrame:
+    """POL-04: temporary credentials have the role's identity statements and their own inline ones, both together (not only what both allow), and the
+    resource's; neither the organisation's gate nor a boundary applies."""
+    both = statements.where(F.col("policy_type").isin("identity", "resource")).unionByName(inline.where("policy_type = 'identity'"))
+    return evaluate(requests, both, request_id, with_scp=False)

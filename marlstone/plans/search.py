@@ -167,7 +167,7 @@ _COS = f"round(1 - list_dot_product(e, qe) / ({_NORM.format('e')} * {_NORM.forma
 _L2 = "round(list_sum(list_transform(list_zip(e, qe), lambda z: (z[1] - z[2]) * (z[1] - z[2]))), 6)"
 
 
-# VEC-01 to VEC-05, TOP-03 to TOP-05.
+# VEC-01 to VEC-05, TOP-03 to TOP-05, TOP-13.
 @query("vec_knn_cosine", f"WITH {_Q} SELECT vec_id, {_COS} AS distance FROM v, q ORDER BY distance, vec_id LIMIT 10")
 def vec_knn_cosine(spark, sf_dir):
     return knn.nearest(vecs(spark, sf_dir), query_vector(spark, sf_dir))
