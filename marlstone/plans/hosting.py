@@ -294,3 +294,11 @@ def snk_shards(spark, sf_dir):
 def fts_segment_lengths(spark, sf_dir):
     d = table(spark, sf_dir, "documents").select(F.floor(F.col("doc_id") / 1024).alias("segment_id"), T.token_count(F.col("text")).alias("n"))
     return d.groupBy("segment_id").agg(F.count("*").alias("n_docs"), (F.count("*") >= 1024).alias("full_segment"))
+
+
+# VEC-13: what a graph search expands; held against the number of rows in the tests.
+@query("vec_graph_stats")
+def vec_graph_stats(spark, sf_dir):
+    from ..operators import ann
+
+    return ann.graph_stats(vecs(spark, sf_dir), query_vector(spark, sf_dir))

@@ -1,12 +1,14 @@
 """Plugins, segments, embeddings, limits: what SQL does not cover."""
 
+import struct
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from marlstone.functions import embedding
+from marlstone.functions import embedding, images
 from marlstone.functions import scalars as S
-from marlstone.operators import hosting, ops, segments
+from marlstone.operators import ann, hosting, ops, segments
 
 
 def looped(text, dim, legacy):
@@ -123,3 +125,37 @@ def test_resource_names_and_lists(spark):
     runs = spark.createDataFrame([("b", "k", 1), ("b", "j", 2), ("c", "k", 3)], "bucket string, object_key string, at int")
     assert ops.executions(runs).count() == 3 and ops.executions(runs, object_key="k").count() == 2
     assert [r.at for r in ops.newest(runs, ["at"], 2).collect()] == [3, 2]
+
+
+def chunk(kind, body):
+    return len(body).to_bytes(4, "big") + kind + body + b"\0\0\0\0"
+
+
+def png(width, height, colour, extra=b""):
+    return b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", struct.pack(">IIBBBBB", width, height, 8, colour, 0, 0, 0)) + extra + chunk(b"IDAT", b"tRNS")
+
+
+IMAGES = [
+    (png(640, 480, 6), ("png", 640, 480, True)),
+    (png(3, 70_000, 2), ("png", 3, 70_000, False)),
+    (png(5, 5, 3, chunk(b"tRNS", b"\0")), ("png", 5, 5, True)),
+    (b"\xff\xd8\xff\xe0\x00\x04ab\xff\xff\xc2\x00\x0b\x08\x01\x02\x03\x04\x01\x11\x00", ("jpeg", 772, 258, False)),
+    (b"GIF89a\x0a\x00\x14\x00" + bytes(8), ("gif", 10, 20, False)),
+    (b"BM" + bytes(16) + struct.pack("<iiHH", 7, -9, 1, 32) + bytes(20), ("bmp", 7, 9, True)),
+    (b"RIFF" + bytes(4) + b"WEBPVP8X" + bytes(4) + b"\x10\0\0\0" + b"\x09\0\0" + b"\x13\0\0", ("webp", 10, 20, True)),
+    (b"RIFF" + bytes(4) + b"WEBPVP8L" + bytes(4) + b"\x2f" + (9 | 19 << 14).to_bytes(4, "little"), ("webp", 10, 20, False)),
+    (b"RIFF" + bytes(4) + b"WEBPVP8 " + bytes(7) + b"\x9d\x01\x2a" + struct.pack("<HH", 10, 20), ("webp", 10, 20, False)),
+    (b"\xff\xd8\xff", None), (b"\x89PNG\r\n\x1a\n", None), (b"text", None), (b"", None), (None, None),
+]
+
+
+def test_image_facts(spark):
+    rows = spark.createDataFrame([(i, None if b is None else bytearray(b)) for i, (b, _) in enumerate(IMAGES)], "id int, content binary")
+    got = {r.id: r.f for r in rows.select("id", images.facts(F.col("content")).alias("f")).collect()}
+    for i, (_, want) in enumerate(IMAGES):
+        assert tuple(got[i]) == (want or (None,) * 4), i
+
+
+def test_graph_stats_count_rows(vectors):
+    got = ann.graph_stats(vectors, [0.0, 1.0], 3, shard_rows=8).collect()
+    assert sum(r.n_rows for r in got) == 20 and all(0 < r.n_expanded <= r.n_rows for r in got)
