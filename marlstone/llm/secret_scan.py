@@ -2,13 +2,14 @@
 
 Every layer of a text is scanned with the same three rules. A layer's children are: the layer
 with its percent escapes decoded, the layer with its Unicode escapes decoded, and each base64 run
-decoded (and decompressed where the bytes are gzip, zlib, bzip2, xz or zstd). Children go on
+decoded (and decompressed where the bytes are gzip, zlib, bzip2, xz or zstd). A run goes on over line breaks, and is decoded in
+all four phases, so that what stands before a blob does not hide it; compressed streams are looked for at every byte. Children go on
 the worklist until nothing new appears; a layer whose content was seen at the same place of the document
 is not entered again, which ends cycles. Each character of a layer carries the range of the
 document that it comes from, so a match in any layer is reported as a span of the document.
 
-Defined results: a null text is empty and has no spans; bytes that do not decode as UTF-8 text are
-no layer; a decompressed layer is read up to MAX_LAYER bytes (a bomb guard, a parameter; the document
+Defined results: a null text is empty and has no spans; bytes that are not UTF-8 stand in a layer as characters that no rule
+matches, and decoded bytes without ``MIN_TEXT`` readable characters in a row, fewer than any secret has, are no layer unless all of them are text; a decompressed layer is read up to MAX_LAYER bytes (a bomb guard, a parameter; the document
 itself has no bound); repeated rows give repeated rows; other columns are ignored.
 """
 
@@ -35,6 +36,8 @@ KINDS = ("assign", "access", "hex")
 #: Bytes of a decompressed layer that are read.
 MAX_LAYER = 64 << 20
 MIN_BASE64 = 16
+#: Compressed streams directly in each other that are opened; one that holds itself has no end.
+MAX_NESTED = 64
 
 _ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
 _ACCESS = re.compile(r"AKIA[A-Z0-9]{16,}")  # a greedy run of 20 characters or more, as AKIA[A-Z0-9]+ with the length test
@@ -42,6 +45,13 @@ _HEX = re.compile(r"(?<![0-9a-f])[0-9a-f]{24,}")  # a whole run of 24 characters
 _WORDS = ("passw", "secret", "token", "api")
 _PERCENT = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
 _ESCAPE = re.compile(r"\\u\{([0-9A-Fa-f]{1,6})\}|\\u([0-9A-Fa-f]{4})|\\U([0-9A-Fa-f]{8})|\\x([0-9A-Fa-f]{2})|&#[xX]([0-9A-Fa-f]{1,6});|&#([0-9]{1,7});")
+#: Readable characters in a row of a layer that is not text as a whole; the shortest secret is token=abcdef.
+MIN_TEXT = 12
+_READABLE = re.compile(rf"[^\x00-\x08\x0b\x0c\x0e-\x1f\x7f\udc80-\udcff]{{{MIN_TEXT},}}")
+_MAGIC = re.compile(rb"\x1f\x8b\x08|\x78[\x01\x5e\x9c\xda]|BZh[1-9]|\xfd7zXZ\x00|\x28\xb5\x2f\xfd")
+_LINES = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]+(?:[ \t]*(?:\r\n|\n|\r)[ \t]*[A-Za-z0-9+/_-]+)+={0,2}")
+_ESCAPED = re.compile("[\udc80-\udcff]")
+_BREAK = re.compile(r"[ \t\r\n]+")
 _BASE64 = re.compile(rf"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{{{MIN_BASE64},}}={{0,2}}")
 
 
@@ -75,33 +85,50 @@ class _Layer:
         return min(self.starts[start:end]), max(self.ends[start:end])
 
 
-def _as_text(data: bytes) -> str | None:
-    for magic, opener in ((b"\x1f\x8b", 31), (b"\x78\x01", 15), (b"\x78\x5e", 15), (b"\x78\x9c", 15), (b"\x78\xda", 15)):
-        if data.startswith(magic):
-            try:
-                return _as_text(zlib.decompressobj(opener).decompress(data, MAX_LAYER))
-            except zlib.error:
-                break
+def _inflated(data: bytes) -> tuple[bytes, int] | None:
+    """What a compressed stream at the start of the data holds, and its length in the data; None if there is none."""
     try:
-        if data.startswith(b"BZh"):
-            return _as_text(bz2.BZ2Decompressor().decompress(data, MAX_LAYER))
-        if data.startswith(b"\xfd7zXZ\x00"):
-            return _as_text(lzma.LZMADecompressor().decompress(data, MAX_LAYER))
-        if data.startswith(b"\x28\xb5\x2f\xfd"):
+        if data[:2] == b"\x1f\x8b" or data[:1] == b"\x78":
+            stream = zlib.decompressobj(31 if data[:1] == b"\x1f" else 15)
+        elif data.startswith(b"BZh"):
+            stream = bz2.BZ2Decompressor()
+        elif data.startswith(b"\xfd7zXZ\x00"):
+            stream = lzma.LZMADecompressor()
+        else:
             import zstandard
 
-            return _as_text(zstandard.ZstdDecompressor().decompressobj().decompress(data)[:MAX_LAYER])
-    except (OSError, ValueError, EOFError, lzma.LZMAError):
-        pass
+            stream = zstandard.ZstdDecompressor().decompressobj()
+            return stream.decompress(data)[:MAX_LAYER], len(data) - len(stream.unused_data)
+        return stream.decompress(data, MAX_LAYER), len(data) - len(stream.unused_data)
+    except (OSError, ValueError, EOFError, lzma.LZMAError, zlib.error):
+        return None
     except Exception as e:  # zstandard raises a class of its own
         if type(e).__name__ != "ZstdError":
             raise
-    try:
-        text = data.decode("utf-8")
-    except UnicodeDecodeError:
         return None
-    odd = sum(1 for c in text if c < " " and c not in "\t\n\r")
-    return text if text and odd * 10 <= len(text) else None
+
+
+def _as_text(data: bytes) -> str | None:
+    """The bytes as a layer's text, with one lone surrogate for each byte that is not UTF-8."""
+    text = data.decode("utf-8", "surrogateescape")
+    if _READABLE.search(text):
+        return text
+    odd = sum(1 for c in text if c < " " and c not in "\t\n\r" or "\udc80" <= c <= "\udcff")
+    return text if text and odd * 10 <= len(text) and not any("\udc80" <= c <= "\udcff" for c in text) else None
+
+
+def _texts(data: bytes) -> Iterator[tuple[int, int, str]]:
+    """(start, length or 0 for the data itself, text) of the data and of the compressed streams in it, streams within streams too."""
+    if text := _as_text(data):
+        yield 0, 0, text
+    for m in _MAGIC.finditer(data):
+        got = _inflated(data[m.start() :])
+        used, depth = got[1] if got else 0, 0
+        while got and got[0] and depth < MAX_NESTED:
+            if text := _as_text(got[0]):
+                yield m.start(), used, text
+            got = _inflated(got[0]) if _MAGIC.match(got[0]) else None
+            depth += 1
 
 
 def _pieces(layer: _Layer, found: Iterator[tuple[int, int, list[tuple[str, int, int]]]]) -> _Layer | None:
@@ -162,16 +189,53 @@ def _children(layer: _Layer) -> Iterator[_Layer]:
         yield child
     if _long(text, MIN_BASE64):
         for m in _BASE64.finditer(text):
-            run = m[0].rstrip("=").replace("-", "+").replace("_", "/")
-            if len(run) % 4 == 1:
-                run = run[:-1]
-            try:
-                got = _as_text(base64.b64decode(run + "=" * (-len(run) % 4)))
-            except binascii.Error:
-                continue
-            if got:
-                lo, hi = layer.root(m.start(), m.end()) if layer.depth else (m.start(), m.end())
-                yield _Layer(got, lo, hi, layer.depth + 1)
+            yield from _decoded(layer, m.start(), m.end(), m[0], None)
+    if "\n" in text or "\r" in text:
+        for m in _LINES.finditer(text):
+            run = _BREAK.sub("", m[0])
+            if len(run) >= MIN_BASE64:
+                yield from _decoded(layer, m.start(), m.end(), run, m[0])
+
+
+def _decoded(layer: _Layer, start: int, end: int, run: str, lines: str | None) -> Iterator[_Layer]:
+    """Children of one base64 run from ``start`` to ``end`` of the layer, or of the run that the ``lines`` there make."""
+    run = run.rstrip("=").replace("-", "+").replace("_", "/")
+    places: list[int] | None = None
+
+    def origin(a: int, b: int) -> tuple[int, int]:
+        """The document's range of characters a to b of the run."""
+        nonlocal places
+        if lines is None:
+            a, b = start + a, start + b
+        else:
+            if places is None:
+                places = [start + i for i, c in enumerate(lines) if c not in " \t\r\n"]
+            a, b = places[a], places[b - 1] + 1
+        return layer.root(a, b) if layer.depth else (a, b)
+
+    for phase in range(4):
+        own = run[phase:]
+        if len(own) % 4 == 1:
+            own = own[:-1]
+        try:
+            data = base64.b64decode(own + "=" * (-len(own) % 4))
+        except binascii.Error:
+            continue
+        for at, used, text in _texts(data):
+            if lines is None and not phase and not at and (used == len(data) or not used and not _ESCAPED.search(text)):
+                # All of the run is the blob.
+                yield _Layer(text, *(layer.root(start, end) if layer.depth else (start, end)), layer.depth + 1)
+            elif used:
+                yield _Layer(text, *origin(phase + at * 4 // 3, min(phase + ((at + used) * 4 + 2) // 3, len(run))), layer.depth + 1)
+            else:
+                starts, ends, i = [], [], 0
+                for c in text:
+                    n = 1 if c < "\x80" or "\udc80" <= c <= "\udcff" else len(c.encode())
+                    lo, hi = origin(phase + i * 4 // 3, min(phase + ((i + n) * 4 + 2) // 3, len(run)))
+                    starts.append(lo)
+                    ends.append(hi)
+                    i += n
+                yield _Layer(text, starts, ends, layer.depth + 1)
 
 
 def scan(text: str | None) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int]], int]:
@@ -184,7 +248,7 @@ def scan(text: str | None) -> tuple[list[tuple[int, int, int]], list[tuple[int,
     while work:
         layer = work.popleft()
         for child in _children(layer):
-            place = (child.starts, child.ends) if isinstance(child.starts, int) else ()
+            place = (child.starts, child.ends) if isinstance(child.starts, int) else (child.starts[0], child.ends[-1])
             mark = (hashlib.blake2b(child.text.encode("utf-8", "surrogatepass"), digest_size=16).digest(), *place)
             if mark in seen or child.text == layer.text:
                 continue

@@ -214,6 +214,39 @@ def test_nested_layers_map_back_to_their_place(layers):
     assert "correcthorse" not in secret_scan.redact(text) and inner not in secret_scan.redact(text)
 
 
+BLOB = f"the first words of a longer text, then password=correcthorse and the key {KEY} stand here, é and some more words after them"
+
+
+@pytest.mark.parametrize("kind", ["base64", "gzip", "zlib", "bz2"])
+@pytest.mark.parametrize("width,newline", [(64, "\n"), (76, "\r\n"), (20, "\n  ")])
+def test_wrapped_base64_is_one_run(kind, width, newline):
+    blob = wrap(kind, BLOB)
+    lines = newline.join(blob[i : i + width] for i in range(0, len(blob), width))
+    text = f"-----BEGIN-----\n{lines}\n-----END----- and after"
+    spans = secret_scan.scan(text)[1]
+    assert {k for _, k, _ in spans} >= {0, 1}
+    assert all(text.index(lines) <= a < b <= text.index(lines) + len(lines) for a, _, b in spans)
+
+
+@pytest.mark.parametrize("kind", ["base64", "gzip", "zlib", "bz2"])
+@pytest.mark.parametrize("before", ["path/", "key_", "a-", "ab", "data/x/", "Zz9/"])
+def test_base64_after_characters_of_its_alphabet(kind, before):
+    text = f"see {before}{wrap(kind, BLOB)} and after"
+    spans = secret_scan.scan(text)[1]
+    assert {k for _, k, _ in spans} >= {0, 1}
+    assert all(a >= 4 and b <= len(text) - 10 for a, _, b in spans)
+    assert not secret_scan.scan(secret_scan.redact(text))[1]
+
+
+def test_text_within_bytes_that_are_no_text():
+    data = b"\xff\xfe\x00\x01" * 9 + b"password=correcthorse" + b"\x80\x81\x02" * 9
+    blob = base64.b64encode(data).decode()
+    spans = secret_scan.scan(f"x {blob} y")[1]
+    assert len(spans) == 1 and base64.b64decode(blob)[28:63].find(b"correcthorse") > 0
+    a, kind, b = spans[0]
+    assert kind == 0 and 2 + 36 * 4 // 3 <= a < b <= 2 + 58 * 4 // 3
+
+
 def test_percent_spans_are_exact():
     text = "see password%3Dhunter2%61bc now"
     spans = secret_scan.scan(text)[1]
