@@ -9,8 +9,9 @@ is not entered again, which ends cycles. Each character of a layer carries the r
 document that it comes from, so a match in any layer is reported as a span of the document.
 
 Defined results: a null text is empty and has no spans; bytes that are not UTF-8 stand in a layer as characters that no rule
-matches, and decoded bytes without ``MIN_TEXT`` readable characters in a row, fewer than any secret has, are no layer unless all of them are text; a decompressed layer is read up to MAX_LAYER bytes (a bomb guard, a parameter; the document
-itself has no bound); repeated rows give repeated rows; other columns are ignored.
+matches, and decoded bytes without ``MIN_TEXT`` readable characters in a row, fewer than any secret has, are no layer unless all of them are text; all members and
+streams that follow each other are read, and a decompressed layer has no bound but is held in windows of MAX_LAYER bytes, cut where no secret can be; only
+an unbroken run of half a window is cut within, with OVERLAP characters in both windows; a damaged stream gives what comes before the damage; repeated rows give repeated rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -18,12 +19,14 @@ from __future__ import annotations
 import base64
 import binascii
 import bz2
+import codecs
 import hashlib
 import lzma
 import re
 import zlib
 from collections import deque
 from collections.abc import Iterator
+from itertools import chain
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -33,9 +36,13 @@ from ..sources.tables import table
 from . import common
 
 KINDS = ("assign", "access", "hex")
-#: Bytes of a decompressed layer that are read.
+#: Bytes of a decompressed layer that are held at a time.
 MAX_LAYER = 64 << 20
 MIN_BASE64 = 16
+#: Bytes that a decompressor takes and gives at a time.
+STEP = 1 << 18
+#: Characters that two windows of a layer share where they have to be cut within one unbroken run.
+OVERLAP = 1 << 20
 #: Compressed streams directly in each other that are opened; one that holds itself has no end.
 MAX_NESTED = 64
 
@@ -50,6 +57,7 @@ MIN_TEXT = 12
 _READABLE = re.compile(rf"[^\x00-\x08\x0b\x0c\x0e-\x1f\x7f\udc80-\udcff]{{{MIN_TEXT},}}")
 _MAGIC = re.compile(rb"\x1f\x8b\x08|\x78[\x01\x5e\x9c\xda]|BZh[1-9]|\xfd7zXZ\x00|\x28\xb5\x2f\xfd")
 _LINES = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]+(?:[ \t]*(?:\r\n|\n|\r)[ \t]*[A-Za-z0-9+/_-]+)+={0,2}")
+_APART = re.compile(r"""[^A-Za-z0-9+/_.=\-"' :%\\{}&#;\t\r\n]""")
 _ESCAPED = re.compile("[\udc80-\udcff]")
 _BREAK = re.compile(r"[ \t\r\n]+")
 _BASE64 = re.compile(rf"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{{{MIN_BASE64},}}={{0,2}}")
@@ -85,50 +93,154 @@ class _Layer:
         return min(self.starts[start:end]), max(self.ends[start:end])
 
 
-def _inflated(data: bytes) -> tuple[bytes, int] | None:
-    """What a compressed stream at the start of the data holds, and its length in the data; None if there is none."""
-    try:
-        if data[:2] == b"\x1f\x8b" or data[:1] == b"\x78":
-            stream = zlib.decompressobj(31 if data[:1] == b"\x1f" else 15)
-        elif data.startswith(b"BZh"):
-            stream = bz2.BZ2Decompressor()
-        elif data.startswith(b"\xfd7zXZ\x00"):
-            stream = lzma.LZMADecompressor()
-        else:
-            import zstandard
-
-            stream = zstandard.ZstdDecompressor().decompressobj()
-            return stream.decompress(data)[:MAX_LAYER], len(data) - len(stream.unused_data)
-        return stream.decompress(data, MAX_LAYER), len(data) - len(stream.unused_data)
-    except (OSError, ValueError, EOFError, lzma.LZMAError, zlib.error):
-        return None
-    except Exception as e:  # zstandard raises a class of its own
-        if type(e).__name__ != "ZstdError":
-            raise
+def _opened(head: bytes):
+    """The decompressor for a stream that begins so; None where it is no compressed stream."""
+    m = _MAGIC.match(head)
+    if not m:
         return None
-
-
-def _as_text(data: bytes) -> str | None:
-    """The bytes as a layer's text, with one lone surrogate for each byte that is not UTF-8."""
-    text = data.decode("utf-8", "surrogateescape")
+    if m[0][:1] in (b"\x1f", b"\x78"):
+        return zlib.decompressobj(31 if m[0][:1] == b"\x1f" else 15)
+    if m[0][:1] == b"B":
+        return bz2.BZ2Decompressor()
+    if m[0][:1] == b"\xfd":
+        return lzma.LZMADecompressor()
+    return _Zstd()
+
+
+class _Zstd:
+    """A zstd frame with the interface of the others."""
+
+    def __init__(self):
+        import zstandard
+
+        self.stream, self.left = zstandard.ZstdDecompressor().decompressobj(), b""
+
+    @property
+    def eof(self) -> bool:
+        return self.stream.eof
+
+    @property
+    def unused_data(self) -> bytes:
+        return self.stream.unused_data + self.left
+
+    def decompress(self, data: bytes) -> bytes:
+        return self.stream.decompress(data)
+
+
+def _stepped(stream, data: bytes) -> Iterator[bytes]:
+    """What the stream makes of more data, at most about STEP bytes at a time."""
+    if hasattr(stream, "needs_input"):  # bzip2, xz
+        yield stream.decompress(data, STEP)
+        while not stream.eof and not stream.needs_input:
+            yield stream.decompress(b"", STEP)
+    elif hasattr(stream, "flush") and hasattr(stream, "copy"):  # gzip, zlib
+        more = True
+        while more:
+            out = stream.decompress(data, STEP)
+            data = stream.unconsumed_tail
+            more = not stream.eof and (bool(data) or len(out) == STEP)
+            yield out
+    else:  # zstd has no bound on its output, but a block of 3 bytes or more makes at most 128 KB
+        for i in range(0, len(data), 64):
+            if stream.eof:
+                stream.left = data[i:]
+                break
+            yield stream.decompress(data[i : i + 64])
+
+
+class _Inflated:
+    """The output of all members and streams that follow each other in ``chunks``, in pieces; ``used`` counts the bytes of those that were read.
+    A damaged stream gives what comes before the damage."""
+
+    def __init__(self, chunks: Iterator[bytes]):
+        self.chunks, self.used = chunks, 0
+
+    def __iter__(self) -> Iterator[bytes]:
+        held = b""
+        while True:
+            while len(held) < 8 and (more := next(self.chunks, None)) is not None:
+                held += more
+            pad = len(held) - len(held.lstrip(b"\0")) if self.used else 0  # between members
+            stream = _opened(held[pad:])
+            if stream is None:
+                return
+            self.used += pad
+            held = held[pad:]
+            try:
+                while not stream.eof:
+                    if not held and not (held := next(self.chunks, b"")):
+                        return
+                    self.used += len(held)
+                    yield from filter(None, _stepped(stream, held))
+                    held = b""
+            except (OSError, ValueError, EOFError, lzma.LZMAError, zlib.error):
+                return
+            except Exception as e:  # zstandard raises a class of its own
+                if type(e).__name__ != "ZstdError":
+                    raise
+                return
+            held = stream.unused_data
+            self.used -= len(held)
+
+
+def _cut(text: str) -> int:
+    """Where the window after this one begins: after the last character that no rule, escape or run contains, so that what may belong together stays so;
+    without one in the second half, OVERLAP characters are read again."""
+    for lo in range(len(text) - 65_536, len(text) // 2 - 65_536, -65_536):
+        last = None
+        for last in _APART.finditer(text, max(lo, 0), lo + 65_536):
+            pass
+        if last:
+            return last.end()
+    return len(text) - min(OVERLAP, len(text) // 2)
+
+
+def _windows(pieces: Iterator[bytes]) -> Iterator[str]:
+    """The text of the pieces in windows of about MAX_LAYER bytes, each of them a layer."""
+    decoder = codecs.getincrementaldecoder("utf-8")("surrogateescape")
+    held, size = [], 0
+    for x in pieces:
+        held.append(decoder.decode(x))
+        size += len(held[-1])
+        if size >= MAX_LAYER:
+            text = "".join(held)
+            at = _cut(text)
+            yield text
+            held, size = [text[at:]], len(text) - at
+    held.append(decoder.decode(b"", True))
+    yield "".join(held)
+
+
+def _kept(text: str) -> bool:
+    """Whether a text, with one lone surrogate for each byte that is not UTF-8, is a layer."""
     if _READABLE.search(text):
-        return text
-    odd = sum(1 for c in text if c < " " and c not in "\t\n\r" or "\udc80" <= c <= "\udcff")
-    return text if text and odd * 10 <= len(text) and not any("\udc80" <= c <= "\udcff" for c in text) else None
+        return True
+    return bool(text) and not _ESCAPED.search(text) and 10 * sum(1 for c in text if c < " " and c not in "\t\n\r") <= len(text)
 
 
 def _texts(data: bytes) -> Iterator[tuple[int, int, str]]:
     """(start, length or 0 for the data itself, text) of the data and of the compressed streams in it, streams within streams too."""
-    if text := _as_text(data):
+    if _kept(text := data.decode("utf-8", "surrogateescape")):
         yield 0, 0, text
+    done = 0
     for m in _MAGIC.finditer(data):
-        got = _inflated(data[m.start() :])
-        used, depth = got[1] if got else 0, 0
-        while got and got[0] and depth < MAX_NESTED:
-            if text := _as_text(got[0]):
-                yield m.start(), used, text
-            got = _inflated(got[0]) if _MAGIC.match(got[0]) else None
-            depth += 1
+        if m.start() < done:
+            continue  # a member that was read with the ones before it
+        view = memoryview(data)[m.start() :]
+        for depth in range(1, MAX_NESTED + 1):
+            outer = _Inflated(bytes(view[i : i + STEP]) for i in range(0, len(view), STEP))
+            stream = iter(outer)
+            for _ in range(1, depth):
+                stream = iter(_Inflated(stream))
+            head = b""
+            while len(head) < 8 and (more := next(stream, None)) is not None:
+                head += more
+            for text in _windows(chain([head], stream)):
+                if _kept(text):
+                    done = max(done, m.start() + outer.used)
+                    yield m.start(), outer.used, text
+            if not _MAGIC.match(head):
+                break
 
 
 def _pieces(layer: _Layer, found: Iterator[tuple[int, int, list[tuple[str, int, int]]]]) -> _Layer | None:

@@ -3,6 +3,8 @@ import bz2
 import collections
 import gzip
 import hashlib
+import lzma
+import random
 import re
 import zlib
 
@@ -247,6 +249,31 @@ def test_text_within_bytes_that_are_no_text():
     assert kind == 0 and 2 + 36 * 4 // 3 <= a < b <= 2 + 58 * 4 // 3
 
 
+def packed(kind, data):
+    if kind == "zstd":
+        import zstandard
+
+        return zstandard.ZstdCompressor().compress(data)
+    return {"gzip": gzip.compress, "zlib": zlib.compress, "bz2": bz2.compress, "xz": lzma.compress}[kind](data)
+
+
+@pytest.mark.parametrize("kind", ["gzip", "zlib", "bz2", "xz", "zstd"])
+def test_all_members_are_read_past_any_window(monkeypatch, kind):
+    rng = random.Random(4)
+    filler = lambda n: " ".join(f"wörd{rng.randrange(10**6)}," for _ in range(n)).encode()
+    parts = [filler(50), filler(3000) + b" password=correct", b"horse, " + filler(3000) + f" {KEY}".encode()]
+    blob = base64.b64encode(b"".join(packed(kind, x) for x in parts)).decode()
+    for window in (64 << 20, 20_000, 1_000):
+        monkeypatch.setattr(secret_scan, "MAX_LAYER", window)
+        text = f"see {blob} and after"
+        assert {k for _, k, _ in secret_scan.scan(text)[1]} >= {0, 1}
+        assert blob[:40] not in secret_scan.redact(text)
+
+
+def test_a_text_that_looks_compressed_is_still_a_text():
+    assert secret_scan.scan(wrap("gzip", "x^2 password=correcthorse"))[1]
+
+
 def test_percent_spans_are_exact():
     text = "see password%3Dhunter2%61bc now"
     spans = secret_scan.scan(text)[1]
