@@ -1,7 +1,7 @@
 """Operator 5: license scans.
 
 One Aho-Corasick automaton per worker finds, in the document's words joined by single spaces,
-notice phrases and the words of the identifier tag. Each tag's expression is read from the
+notice phrases and the words of the identifier tag. The expression of each tag, of which a line may hold several, is read from the
 raw text by a shunting-yard parser (``with`` binds tighter than ``and``, ``and`` tighter than
 ``or``) and evaluated: every identifier's permissiveness, ``and`` the least, ``or`` the best.
 
@@ -61,7 +61,10 @@ FREEDOM = {
 UNKNOWN = 0.5
 
 _KEEP = bytes(c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else c + 32 if 65 <= c <= 90 else 32 for c in range(256))
-_TAG_RAW = re.compile(r"spdx-license-identifier[ \t]*:[ \t]*([^\r\n]*)", re.I)
+#: The tag as the automaton finds it, with any separators.
+_TAG_RAW = re.compile(r"(?<![0-9A-Za-z\x80-\U0010ffff])spdx[^0-9A-Za-z\x80-\U0010ffff]+license[^0-9A-Za-z\x80-\U0010ffff]+identifier(?![0-9A-Za-z\x80-\U0010ffff])", re.I | re.A)
+_SEPARATORS = re.compile(r"[^0-9A-Za-z(\x80-\U0010ffff]*")
+_LINE = re.compile(r"[^\r\n]*")
 _TOKEN = re.compile(r"\(|\)|[A-Za-z0-9][A-Za-z0-9.+:-]*")
 _RANK = {"or": 1, "and": 2, "with": 3}
 
@@ -158,6 +161,19 @@ def evaluate(expression: str) -> tuple[list[str], float | None, bool]:
     return labels, out[0][0] if well else min(FREEDOM.get(x, UNKNOWN) for x in labels), well
 
 
+def tag_expressions(text: str) -> Iterator[str]:
+    """What follows each tag, to the end of its line or the next tag. A tag whose line holds nothing more takes the next line that does. There, and
+    without a colon or an equals sign, words may be no expression: they are one if the first identifier is known or the line is a whole expression."""
+    tags = list(_TAG_RAW.finditer(text))
+    for k, m in enumerate(tags):
+        stop = tags[k + 1].start() if k + 1 < len(tags) else len(text)
+        between = _SEPARATORS.match(text, m.end(), stop)
+        line = _LINE.match(text, between.end(), stop)[0]
+        sure = not re.search(r"[\r\n]", between[0]) and re.search("[:=]", between[0])
+        if sure or FREEDOM.get((evaluate(line)[0] or [""])[0]) is not None or evaluate(line)[2] and len(_cut(line)) == len(_TOKEN.findall(line)):
+            yield line
+
+
 _automaton = None
 
 
@@ -195,10 +211,10 @@ def scan(text: str | None) -> dict:
     scores = [FREEDOM.get(x, UNKNOWN) for x in labels]
     expressions = []
     if tagged:
-        for m in _TAG_RAW.finditer(text or ""):
-            got, value, _ = evaluate(m[1])
+        for expression in tag_expressions(text or ""):
+            got, value, _ = evaluate(expression)
             if value is not None:
-                expressions.append(" ".join(_cut(m[1])))
+                expressions.append(" ".join(_cut(expression)))
                 labels |= set(got)
                 scores.append(value)
     return {"n_words": len(words), "places": places, "base": base, "labels": labels, "score": min(scores, default=0.0), "expressions": expressions}

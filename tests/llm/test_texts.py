@@ -339,6 +339,25 @@ def test_expressions(expression, labels, score, well):
     assert licenses.evaluate(expression) == (labels, score, well)
 
 
+@pytest.mark.parametrize(
+    "text,expressions,labels",
+    [
+        ("SPDX-License-Identifier: MIT text here // SPDX-License-Identifier: GPL-3.0-only", ["MIT", "GPL-3.0-only"], ["gpl-3", "mit"]),
+        ("/* SPDX-License-Identifier: MIT OR Apache-2.0 */ a(); /* spdx-license-identifier: ISC */ /* SPDX-License-Identifier: (MIT AND Zlib) */", ["MIT or Apache-2.0", "ISC", "( MIT and Zlib )"], ["apache-2", "isc", "mit", "zlib"]),
+        ("SPDX License Identifier: MIT", ["MIT"], ["mit"]),
+        ('{"SPDX-License-Identifier": "MIT"}', ["MIT"], ["mit"]),
+        (" * SPDX-License-Identifier:\r\n *   (MIT OR GPL-2.0-only)\n * more", ["( MIT or GPL-2.0-only )"], ["gpl-2", "mit"]),
+        ("# SPDX-License-Identifier:\n# Own-License-1.0\n", ["Own-License-1.0"], ["own-license-1"]),
+        ("SPDX-License-Identifier:\n\nint main() {}", [], []),
+        ("every SPDX-License-Identifier line is read", [], []),
+        ("éspdx-license-identifier: MIT, SPDX-License-Identifiers: MIT", [], []),
+    ],
+)
+def test_each_tag_has_its_own_expression(text, expressions, labels):
+    got = licenses.scan(text)
+    assert (got["expressions"], sorted(got["labels"])) == (expressions, labels)
+
+
 def test_licenses_on_a_table(docs, plain, spark):
     tagged = spark.createDataFrame([(9, "x\n// SPDX-License-Identifier: (Apache-2.0 OR MIT)\ncode")], "doc_id long, text string")
     r = licenses.scan_licenses(tagged).first()
