@@ -1,29 +1,30 @@
 """Operator 6: substring dedup by relative Lempel-Ziv parsing.
 
-A document is parsed, left to right, into factors copied from reference text (all documents before it, and its own
-earlier words) and literal words; a factor counts if it has ``window`` words or more, and such factors are the
-duplicate spans. The reference is indexed in blocks by anchors and every document meets every block in
-which one of its anchors is indexed, so no possible factor is missed:
-
-* The anchor of a window is the word ``k``-gram in it with the least hash, a choice that depends on the
-  window's words alone, so equal windows have equal anchors at equal places. Windows that follow each other mostly share their
-  anchor: one index row holds an anchor's hash, the document, the first window and a 32-bit check of each
-  window (anchor hash and check together are 96 bits of two independent hashes).
-* Rows are dealt to index blocks by anchor hash. A block runs through its rows in order of
-  (anchor, document, start); a window that has been there is the continuation of a factor, with the
-  place of its first occurrence as its source.
-* At factor boundaries nothing is skipped: every window that begins inside a factor and ends beyond it
-  has been looked up itself. The greedy parse then joins neighbouring windows into factors, and each
-  document's words under its factors go.
-
-Before the shuffle every batch resolves the windows that recur within it and sends only their first
-occurrences, so a passage that a third of all documents hold meets in a block once per batch, not once per document. A block
-streams its rows in sorted order and remembers only the distinct windows of one anchor.
-
-Judged on the input: "earlier" is a smaller doc_id, or the same doc_id and a smaller start. Defined results: null and
-empty texts have no words; rows that share a doc_id count as the same document, so equal places
-of repeated rows are not earlier than one another and keep their words alike (with different texts, their spans are pooled); null ids come last and
-count as one document; other columns are ignored.
+Every document is factored greedily against reference text: all documents before it, and its own earlier words. The reference is indexed in blocks by
+anchors and a document meets every block in which one of its anchors is indexed, so no factor of ``window`` words or more is missed:
+
+* The anchor of a window is the word ``gram``-gram in it with the least hash, a choice that depends on the window's words alone, so equal windows have
+  equal anchors at equal places. Windows that follow each other mostly share their anchor: one index row holds an anchor's hash, the document, the
+  first window and a check of ``CHECK_BITS`` bits of each window.
+* Rows are dealt to index blocks by anchor. A block runs through its rows in order of (anchor, document, start); a window that has been there is a
+  candidate copy, with the place of its first occurrence as its source. Candidates of one document on one diagonal (same source, same distance) that
+  touch are one match, the longest copy there.
+* The parse goes from word to word: at a word, the match that reaches farthest becomes a factor and the parse goes on behind it; at a factor's boundary
+  the matches that begin inside the factor and reach beyond it are tried first, so no window that crosses the boundary is lost. The words under
+  factors go.
+* A match counts only if its words are those of its source. Both sides hash their words with 128 bits, in cells of ``CELL`` words of the source, while
+  the parse cuts the document. Matches with cells that differ (two windows of an anchor had one check) are dissolved, their windows are
+  compared by 128 bits with each other and with their sources, and the documents that they belong to are parsed again. So checks decide where to look,
+  never what goes.
+
+Before the shuffle every batch resolves the windows that recur within it, comparing their words, and sends only their first occurrences, so a
+passage that a third of all documents hold meets in a block once per batch, not once per document. An anchor with many different windows (a common
+phrase in ever new surroundings) is found in a sample and dealt by its windows instead; where a phrase is not seen in the sample the result is the same. So a
+task remembers only the distinct windows of one anchor of bounded size.
+
+Judged on the input: "earlier" is a smaller doc_id, or the same doc_id and a smaller start. Defined results: null and empty texts have no words;
+where ids are null or repeated, documents of one id (null is the last id) stand in the order of a hash of their texts, and rows of the same id and
+text are one document, so their equal places are not earlier than one another and keep their words alike; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -41,9 +42,15 @@ from ..sources.tables import table
 from . import common
 
 WINDOW, GRAM = 20, 6
-#: Words that one chunk of documents holds; longer documents are a chunk of their own.
+#: Bits of a window's hash that an index row holds; fewer only make more candidates.
+CHECK_BITS = 32
+#: Words that one chunk of documents holds; a longer document is cut into chunks that overlap.
 CHUNK = 300_000
-NO_ID = (1 << 63) - 1
+#: Words of a source that are hashed and compared together.
+CELL = 64
+#: Documents sampled for common anchors: HOT_DOCS of them, or one in HOT_SHARE where that is more. An anchor with HOT_SEEN different windows in the sample
+#: is dealt by window; of the HOT_LIST most frequent ones at most, so one that is not has at most 1 / HOT_LIST of all index rows.
+HOT_DOCS, HOT_SHARE, HOT_SEEN, HOT_LIST = 4096, 4096, 32, 1_000_000
 
 _BASES = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93))
 _powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
@@ -53,6 +60,8 @@ INDEX_SCHEMA = "h long, dkey long, start int, n int, checks binary, src long, sr
 _INDEX = pa.schema([("h", pa.int64()), ("dkey", pa.int64()), ("start", pa.int32()), ("n", pa.int32()), ("checks", pa.binary()), ("src", pa.int64()), ("src_start", pa.int32())])
 RUN_SCHEMA = "dkey long, start int, n int, src long, src_start int"
 _RUN = pa.schema([("dkey", pa.int64()), ("start", pa.int32()), ("n", pa.int32()), ("src", pa.int64()), ("src_start", pa.int32())])
+_MATCH = "array<struct<start:int,n:int,src:long,src_start:int>>"
+_PROOF = "array<struct<src:long,at:int,n:int,h1:long,h2:long>>"
 
 
 def _power(which: int, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -92,9 +101,18 @@ def _ragged(counts: np.ndarray) -> np.ndarray:
     return np.arange(ends[-1] if len(ends) else 0) - np.repeat(ends - counts, counts)
 
 
-def _index_chunk(keys: list[int], texts: list[list[bytes]], window: int, gram: int) -> pa.RecordBatch | None:
-    """The index rows of documents with distinct keys in ascending order: the first occurrence of each window, and rows without
-    checks for the windows that are resolved here."""
+def _anchors(grams: np.ndarray, at: np.ndarray, span: int) -> np.ndarray:
+    """For each window start the place of its least gram (the first of equal ones), in blocks that bound the memory."""
+    view = np.lib.stride_tricks.sliding_window_view(grams, span)
+    out = np.empty(len(at), np.int64)
+    for i in range(0, len(at), 65_536):
+        out[i : i + 65_536] = view[at[i : i + 65_536]].argmin(axis=1)
+    return out + at
+
+
+def _index_chunk(keys: list[int], texts: list[list[bytes]], offset: int, window: int, gram: int, bits: int, hot: np.ndarray) -> list[pa.RecordBatch]:
+    """The index rows of documents with distinct keys in ascending order (``offset``: the words before the only one): the first occurrence of each window,
+    and rows without checks for the windows that are resolved here."""
     sizes = np.array([len(t) for t in texts], np.int64)
     words = [w for t in texts for w in t]
     known = _hashes.table(words)
@@ -103,44 +121,59 @@ def _index_chunk(keys: list[int], texts: list[list[bytes]], window: int, gram: i
     doc_of = np.repeat(np.arange(len(texts)), sizes - window + 1)
     at = _ragged(sizes - window + 1) + np.repeat(firsts, sizes - window + 1)
     if not len(at):
-        return None
+        return []
     full = _rolling(hashed, window, 0)[at]
     grams = _rolling(hashed, gram, 1)
-    anchors = np.lib.stride_tricks.sliding_window_view(grams, window - gram + 1)[at].argmin(axis=1) + at
+    anchors = _anchors(grams, at, window - gram + 1)
     order = np.argsort(full, kind="stable")
     fresh = np.ones(len(order), bool)
     sorted_full = full[order]
     fresh[1:] = sorted_full[1:] != sorted_full[:-1]
     first_of = np.empty(len(order), np.int64)
     first_of[order] = np.repeat(order[fresh], np.diff(np.append(np.flatnonzero(fresh), len(order))))
-    new = first_of == np.arange(len(order))
     key = np.array(keys, np.int64)
-    start = at - firsts[doc_of]
+    start = at - firsts[doc_of] + offset
     out = []
-    # Windows seen for the first time in this chunk, by anchor.
-    i = np.flatnonzero(new)
-    if len(i):
-        s = _runs(np.concatenate([[True], (np.diff(at[i]) != 1) | (np.diff(anchors[i]) != 0) | (np.diff(doc_of[i]) != 0)]))
-        n = np.diff(np.append(s, len(i)))
-        checks = (full[i] >> np.uint64(32)).astype("<u4")
-        offsets = np.append(s, len(i)).astype(np.int32) * 4
-        blob = pa.Array.from_buffers(pa.binary(), len(s), [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(checks.tobytes())])
-        head = i[s]
-        none = pa.nulls(len(s))
-        out.append(pa.RecordBatch.from_arrays([pa.array(grams[anchors[head]].view(np.int64)), pa.array(key[doc_of[head]]), pa.array(start[head].astype(np.int32)), pa.array(n.astype(np.int32)), blob, none.cast(pa.int64()), none.cast(pa.int32())], schema=_INDEX))
+    new = first_of == np.arange(len(order))
     i = np.flatnonzero(~new)
     if len(i):
         src = first_of[i]
         s = _runs(np.concatenate([[True], (np.diff(at[i]) != 1) | (np.diff(at[src]) != 1) | (np.diff(doc_of[i]) != 0) | (np.diff(doc_of[src]) != 0)]))
         n = np.diff(np.append(s, len(i)))
-        head, source = i[s], src[s]
+        # The words themselves are compared; a run with any difference goes to the index like what is new.
+        spans = n + window - 1
+        off = _ragged(spans)
+        differs = hashed[np.repeat(at[i[s]], spans) + off] != hashed[np.repeat(at[src[s]], spans) + off]
+        same = ~np.logical_or.reduceat(differs, np.cumsum(spans) - spans)
+        new[i] = np.repeat(~same, n)
+        head, source, n = i[s][same], src[s][same], n[same]
         spread = _mixed(key[doc_of[head]].view(np.uint64) + start[head].astype(np.uint64)).view(np.int64)
-        out.append(pa.RecordBatch.from_arrays([pa.array(spread), pa.array(key[doc_of[head]]), pa.array(start[head].astype(np.int32)), pa.array(n.astype(np.int32)), pa.nulls(len(s)).cast(pa.binary()), pa.array(key[doc_of[source]]), pa.array(start[source].astype(np.int32))], schema=_INDEX))
+        none = pa.nulls(len(head)).cast(pa.binary())
+        out.append(pa.RecordBatch.from_arrays([pa.array(spread), pa.array(key[doc_of[head]]), pa.array(start[head].astype(np.int32)), pa.array(n.astype(np.int32)), none, pa.array(key[doc_of[source]]), pa.array(start[source].astype(np.int32))], schema=_INDEX))
+    # Windows seen for the first time in this chunk, by anchor; those of common anchors one by one.
+    i = np.flatnonzero(new)
+    h = grams[anchors[i]].view(np.int64)
+    alone = np.zeros(len(i), bool)
+    if len(hot):
+        alone = hot[np.minimum(np.searchsorted(hot, h), len(hot) - 1)] == h
+        h = np.where(alone, _mixed(h.view(np.uint64) ^ full[i]).view(np.int64), h)
+    s = _runs(np.concatenate([[True], alone[1:] | alone[:-1] | (np.diff(at[i]) != 1) | (np.diff(anchors[i]) != 0) | (np.diff(doc_of[i]) != 0)]))
+    n = np.diff(np.append(s, len(i)))
+    checks = (full[i] >> np.uint64(64 - bits)).astype("<u4")
+    offsets = np.append(s, len(i)).astype(np.int32) * 4
+    blob = pa.Array.from_buffers(pa.binary(), len(s), [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(checks.tobytes())])
+    head = i[s]
+    none = pa.nulls(len(s))
+    out.append(pa.RecordBatch.from_arrays([pa.array(h[s]), pa.array(key[doc_of[head]]), pa.array(start[head].astype(np.int32)), pa.array(n.astype(np.int32)), blob, none.cast(pa.int64()), none.cast(pa.int32())], schema=_INDEX))
     return out
 
 
-def _index_batches(window: int, gram: int):
+def _index_batches(window: int, gram: int, bits: int, hot):
+    """``hot``: a broadcast of the sorted hashes of the anchors that are dealt by window."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        common_anchors = hot.value if hot is not None else np.zeros(0, np.int64)
+        tail = (window, gram, bits, common_anchors)
         for b in batches:
             keys, texts, held = [], [], 0
             column = b.column("text")
@@ -150,13 +183,17 @@ def _index_batches(window: int, gram: int):
                     continue
                 key = b.column("dkey")[i].as_py()
                 if keys and (held + len(words) > CHUNK or key == keys[-1]):
-                    yield from _index_chunk(keys, texts, window, gram) or ()
+                    yield from _index_chunk(keys, texts, 0, *tail)
                     keys, texts, held = [], [], 0
+                if len(words) > CHUNK:
+                    for a in range(0, len(words) - window + 1, CHUNK):
+                        yield from _index_chunk([key], [words[a : a + CHUNK + window - 1]], a, *tail)
+                    continue
                 keys.append(key)
                 texts.append(words)
                 held += len(words)
             if keys:
-                yield from _index_chunk(keys, texts, window, gram) or ()
+                yield from _index_chunk(keys, texts, 0, *tail)
 
     return run
 
@@ -206,47 +243,112 @@ def _match_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
         carried = (c_check[last], c_key[last], c_start[last])
 
 
-def _parse(n_words: int, runs: list[dict], window: int) -> tuple[np.ndarray, list[tuple[int, int, int, int]]]:
-    """(mask of the words under factors, factors (start, length, source, source start)) of one document's greedy parse."""
-    edge = np.zeros(n_words + 1, np.int64)
-    factors: list[tuple[int, int, int, int]] = []
-    for r in sorted(runs, key=lambda r: (r["start"], r["n"])):
-        a, b = r["start"], min(r["start"] + r["n"] - 1 + window, n_words)
-        if a >= n_words:
-            continue
-        edge[a] += 1
-        edge[b] -= 1
-        if factors:
-            fa, fn, src, src_start = factors[-1]
-            if b <= fa + fn:
-                continue
-            if src == r["src"] and src_start - fa == r["src_start"] - a and a <= fa + fn:
-                factors[-1] = (fa, b - fa, src, src_start)  # the same copy goes on
-                continue
-        factors.append((a, b - a, r["src"], r["src_start"]))
-    return np.cumsum(edge[:-1]) > 0, factors
+def _joined_runs(window: int):
+    """(dkey, runs of windows) to (dkey, matches): runs of one diagonal whose words touch are one match of n words; matches stand in order of their starts."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            runs = b.column("runs")
+            sizes = np.diff(runs.offsets.to_numpy())
+            start, n, src, src_start = (runs.flatten().field(k).to_numpy().astype(np.int64) for k in range(4))
+            doc = np.repeat(np.arange(len(sizes)), sizes)
+            shift = src_start - start
+            order = np.lexsort((start, shift, src, doc))
+            doc, src, shift, start, end = doc[order], src[order], shift[order], start[order], (start + n + window - 1)[order]
+            diagonal = np.concatenate([[0], np.cumsum((np.diff(doc) != 0) | (np.diff(src) != 0) | (np.diff(shift) != 0))])
+            far = end.max(initial=0) + 1
+            reach = np.maximum.accumulate(end + diagonal * far) - diagonal * far
+            head = _runs(np.concatenate([[True], (np.diff(diagonal) != 0) | (start[1:] > reach[:-1])]))
+            end = np.maximum.reduceat(end, head) if len(head) else end
+            doc, src, shift, start = doc[head], src[head], shift[head], start[head]
+            order = np.lexsort((src, -end, start, doc))
+            doc, src, shift, start, end = doc[order], src[order], shift[order], start[order], end[order]
+            fields = [pa.array(start, pa.int32()), pa.array(end - start, pa.int32()), pa.array(src), pa.array(start + shift, pa.int32())]
+            flat = pa.StructArray.from_arrays(fields, ["start", "n", "src", "src_start"])
+            offsets = np.concatenate([[0], np.cumsum(np.bincount(doc, minlength=len(sizes)))])
+            yield pa.RecordBatch.from_arrays([b.column("dkey"), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), flat)], ["dkey", "matches"])
+
+    return run
+
+
+def matched(runs: DataFrame, window: int = WINDOW) -> DataFrame:
+    """(dkey, matches) of the runs; a document has no more runs than words."""
+    per = runs.groupBy("dkey").agg(F.collect_list(F.struct("start", "n", "src", "src_start")).alias("runs"))
+    return per.mapInArrow(_joined_runs(window), f"dkey long, matches {_MATCH}")
+
+
+def factors(matches: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """The greedy parse: (start, end) of the factors, given those of the matches in order of their starts."""
+    out: list[tuple[int, int]] = []
+    end = i = 0
+    while i < len(matches):
+        at = max(end, matches[i][0])  # the next word that begins a match, or the boundary that matches may cross
+        best = (0, end)
+        while i < len(matches) and matches[i][0] <= at:
+            if matches[i][1] > best[1]:
+                best = matches[i]
+            i += 1
+        if best[1] > end:
+            out.append(best)
+            end = best[1]
+    return out
+
+
+def _cells(start: int, n: int) -> list[tuple[int, int]]:
+    """(start, words) of a source's span, cut at the multiples of CELL."""
+    cuts = [start, *range(start - start % CELL + CELL, start + n, CELL), start + n]
+    return [(a, b - a) for a, b in zip(cuts, cuts[1:], strict=False)]
+
+
+def _digest(words: list[bytes]) -> bytes:
+    return xxhash.xxh3_128_digest(b" ".join(words))
 
 
 def _cut_batches(window: int, texts: bool):
+    """Rows with their matches and the cells that others ask for, to the result and the hashes of both."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            n_words, removed, shas, factors, kept_texts = [], [], [], [], []
-            for x, runs in zip(b.column("text"), b.column("runs").to_pylist(), strict=True):
+            n_words, removed, shas, counts, kept_texts, sizes = [], [], [], [], [], []
+            proved: list[list[int]] = [[], [], []]
+            digests: list[bytes] = []
+            asked = b.column("asked")
+            for i, x in enumerate(b.column("text")):
                 words = (x.as_py() or b"").split()
                 n_words.append(len(words))
-                if runs:
-                    mask, parsed = _parse(len(words), runs, window)
-                    kept = [w for w, gone in zip(words, mask.tolist(), strict=True) if not gone]
-                else:
-                    kept, parsed = words, []
+                before = len(digests)
+                kept, cut = words, []
+                if own := b.column("matches")[i].as_py():
+                    cut = factors([(m["start"], m["start"] + m["n"]) for m in own])
+                    kept, at = [], 0
+                    for a, e in cut:
+                        kept += words[at:a]
+                        at = max(at, e)
+                    kept += words[at:]
+                    for m in own:
+                        shift = m["start"] - m["src_start"]
+                        for a, n in _cells(m["src_start"], m["n"]):
+                            for col, v in zip(proved, (m["src"], a, n), strict=True):
+                                col.append(v)
+                            digests.append(_digest(words[a + shift : a + shift + n]))
+                if asked[i].is_valid:
+                    key = b.column("dkey")[i].as_py()
+                    for q in asked[i].as_py():
+                        for col, v in zip(proved, (key, q["at"], q["n"]), strict=True):
+                            col.append(v)
+                        digests.append(_digest(words[q["at"] : q["at"] + q["n"]]))
+                sizes.append(len(digests) - before)
                 removed.append(len(words) - len(kept))
                 joined = b" ".join(kept)
                 shas.append(hashlib.sha256(joined).hexdigest())
-                factors.append(len(parsed))
+                counts.append(len(cut))
                 if texts:
                     kept_texts.append(joined.decode("utf-8", "replace"))
-            cols = [b.column("doc_id"), pa.array(n_words, pa.int64()), pa.array(removed, pa.int64()), pa.array(shas, pa.string()), pa.array(factors, pa.int64())]
-            names = ["doc_id", "n_words", "n_removed", "kept_sha256", "n_factors"]
+            halves = np.frombuffer(b"".join(digests), "<i8").reshape(-1, 2)
+            fields = [pa.array(proved[0], pa.int64()), pa.array(proved[1], pa.int32()), pa.array(proved[2], pa.int32()), pa.array(halves[:, 0].copy()), pa.array(halves[:, 1].copy())]
+            proofs = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32()), pa.StructArray.from_arrays(fields, ["src", "at", "n", "h1", "h2"]))
+            cols = [b.column("doc_id"), pa.array(n_words, pa.int64()), pa.array(removed, pa.int64()), pa.array(shas, pa.string()), pa.array(counts, pa.int64()), b.column("dkey"), proofs]
+            names = ["doc_id", "n_words", "n_removed", "kept_sha256", "n_factors", "dkey", "proofs"]
             if texts:
                 cols.append(pa.array(kept_texts, pa.string()))
                 names.append("kept_text")
@@ -255,22 +357,117 @@ def _cut_batches(window: int, texts: bool):
     return run
 
 
-def duplicate_runs(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
-    """(dkey, start, n, src, src_start) of (dkey, text): n windows from start occur earlier, from src_start on in src."""
-    index = docs.mapInArrow(_index_batches(window, gram), INDEX_SCHEMA)
+def _window_batches(window: int):
+    """(dkey, text, starts) to (dkey, start, h1, h2): 128 bits of the windows at the starts."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for key, x, starts in zip(b.column("dkey").to_pylist(), b.column("text"), b.column("starts").to_pylist(), strict=True):
+                words = x.as_py().split()
+                halves = np.frombuffer(b"".join(_digest(words[s : s + window]) for s in starts), "<i8").reshape(-1, 2)
+                yield pa.RecordBatch.from_arrays([pa.array([key] * len(starts), pa.int64()), pa.array(starts, pa.int32()), pa.array(halves[:, 0].copy()), pa.array(halves[:, 1].copy())], ["dkey", "start", "h1", "h2"])
+
+    return run
+
+
+def _common_anchors(rows: DataFrame, n_docs: int, window: int, gram: int, bits: int):
+    """A broadcast of the anchors with many different windows, by a sample of the documents: at most HOT_LIST numbers."""
+    part = max(1, min(1 << 20, (1 << 20) * max(HOT_DOCS, n_docs // HOT_SHARE) // max(1, n_docs)))
+    index = rows.where(F.pmod(F.xxhash64("dkey"), F.lit(1 << 20)) < part).mapInArrow(_index_batches(window, gram, bits, None), INDEX_SCHEMA).where("checks IS NOT NULL")
+    seen = index.select("h", F.substring("checks", 1, 4).alias("c")).distinct().groupBy("h").agg(F.count("*").alias("n"))
+    most = seen.where(F.col("n") >= HOT_SEEN).orderBy(F.desc("n"), "h").limit(HOT_LIST).select("h").toArrow()
+    return rows.sparkSession.sparkContext.broadcast(np.sort(most.column("h").to_numpy()))
+
+
+def duplicate_runs(docs: DataFrame, n_docs: int, window: int = WINDOW, gram: int = GRAM, bits: int = CHECK_BITS) -> DataFrame:
+    """(dkey, start, n, src, src_start) of (dkey, text): n windows from start have the checks of earlier ones, from src_start on in src."""
+    hot = _common_anchors(docs, n_docs, window, gram, bits)
+    index = docs.mapInArrow(_index_batches(window, gram, bits, hot), INDEX_SCHEMA)
     n = common.partitions(docs.sparkSession)
     blocks = index.repartition(n, "h").sortWithinPartitions("h", "dkey", "start")
     return blocks.mapInArrow(_match_batches, RUN_SCHEMA)
 
 
-def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, gram: int = GRAM, texts: bool = False) -> DataFrame:
+def _placed(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, int]:
+    """(doc_id, dkey, text) and the number of rows. dkey is the id itself or, where ids are null or repeated, the place of (id, hash of the text) among all."""
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("text"))
+    ids = rows.groupBy("doc_id").agg(F.count("*").alias("n"))
+    got = ids.agg(F.sum("n").alias("rows"), F.max("n").alias("most"), F.count_if(F.col("doc_id").isNull()).alias("none")).first()
+    if got["none"] == 0 and (got["most"] or 1) == 1:
+        return rows.withColumn("dkey", F.col("doc_id")), got["rows"] or 0
+    spark = docs.sparkSession
+    rows = rows.withColumn("th", F.xxhash64(F.coalesce("text", F.lit(b""))))
+    order = [F.col("doc_id").isNull(), F.col("doc_id"), F.col("th")]
+    each = rows.select("doc_id", "th").distinct().repartitionByRange(common.partitions(spark), *order).sortWithinPartitions(*order)
+    each, _ = common.written(each.select("doc_id", "th", F.monotonically_increasing_id().alias("m")))
+    # One row for each partition.
+    sizes = {r["p"]: r["n"] for r in each.groupBy(F.shiftright("m", 33).alias("p")).agg(F.count("*").alias("n")).collect()}
+    before, firsts = 0, []
+    for p in sorted(sizes):
+        firsts.append((p, before))
+        before += sizes[p]
+    firsts = spark.createDataFrame(firsts, "p long, before long")
+    places = each.join(F.broadcast(firsts), F.shiftright("m", 33) == F.col("p")).select(F.col("doc_id").alias("p_id"), F.col("th").alias("p_th"), (F.col("before") + F.col("m").bitwiseAND((1 << 33) - 1)).alias("dkey"))
+    placed = rows.join(places, F.col("doc_id").eqNullSafe(F.col("p_id")) & (F.col("th") == F.col("p_th"))).select("doc_id", "dkey", "text")
+    return common.written(placed)[0], got["rows"]
+
+
+def _cut(rows: DataFrame, found: DataFrame, window: int, texts: bool) -> DataFrame:
+    """The result of the rows (doc_id, dkey, text) under the matches, with the hashes of the matches' words and of their sources', written."""
+    spans = found.select(F.explode("matches").alias("m")).select("m.src", "m.src_start", (F.col("m.src_start") + F.col("m.n")).alias("stop"))
+    cell = F.transform(
+        F.sequence(F.floor(F.col("src_start") / CELL).cast("int"), F.floor((F.col("stop") - 1) / CELL).cast("int")),
+        lambda c: F.struct(F.greatest(c * CELL, "src_start").alias("at"), (F.least((c + 1) * CELL, "stop") - F.greatest(c * CELL, "src_start")).alias("n")),
+    )
+    # A source is asked for at most one cell a start and one a stop, besides the pieces within one cell, however many copies it has.
+    asked = spans.distinct().select(F.col("src").alias("a_dkey"), F.explode(cell).alias("q")).distinct().groupBy("a_dkey").agg(F.collect_list("q").alias("asked"))
+    own = found.withColumnRenamed("dkey", "m_dkey")
+    joined = rows.join(own, F.col("dkey") == F.col("m_dkey"), "left").join(asked, F.col("dkey") == F.col("a_dkey"), "left").select("doc_id", "dkey", "text", "matches", "asked")
+    schema = f"doc_id long, n_words long, n_removed long, kept_sha256 string, n_factors long, dkey long, proofs {_PROOF}" + ", kept_text string" * texts
+    return common.written(joined.mapInArrow(_cut_batches(window, texts), schema))[0]
+
+
+def _true_runs(rows: DataFrame, found: DataFrame, bad: DataFrame, window: int) -> tuple[DataFrame, DataFrame]:
+    """Runs, one for each window, of the documents with matches on ``bad`` cells (src, at, size), and those documents: windows of good cells are as found,
+    the others are told by 128 bits of their words."""
+    each = found.select("dkey", F.explode("matches").alias("m")).select("dkey", "m.*")
+    wrong = each.join(bad, "src").where((F.col("at") < F.col("src_start") + F.col("n")) & (F.col("at") + F.col("size") > F.col("src_start")))
+    docs = wrong.select("dkey").distinct()
+    window_of = lambda c: F.explode(F.sequence(F.lit(0), F.col("n") - window)).alias(c)
+    all_windows = each.join(docs, "dkey", "left_semi").select("*", window_of("k")).select("dkey", (F.col("start") + F.col("k")).alias("start"), "src", (F.col("src_start") + F.col("k")).alias("src_start"))
+    low = F.greatest(F.col("src_start"), F.col("at") - window + 1)
+    high = F.least(F.col("src_start") + F.col("n") - window, F.col("at") + F.col("size") - 1)
+    doubtful = wrong.where(low <= high).select("dkey", "start", "src", "src_start", F.explode(F.sequence(low, high)).alias("s"))
+    doubtful = doubtful.select("dkey", (F.col("start") + F.col("s") - F.col("src_start")).alias("start"), "src", F.col("s").alias("src_start")).distinct()
+    doubtful, _ = common.written(doubtful)
+    wanted = doubtful.select("dkey", "start").union(doubtful.select("src", "src_start")).distinct()
+    wanted = wanted.groupBy(F.col("dkey").alias("w_dkey"), F.floor(F.col("start") / 4096).alias("part")).agg(F.collect_list("start").alias("starts"))
+    texts = rows.join(wanted, F.col("dkey") == F.col("w_dkey")).select("dkey", "text", "starts")
+    hashed, _ = common.written(texts.mapInArrow(_window_batches(window), "dkey long, start int, h1 long, h2 long").distinct())
+    first = hashed.groupBy("h1", "h2").agg(F.min(F.struct("dkey", "start")).alias("f"))
+    again = hashed.join(first, ["h1", "h2"]).where(F.struct("dkey", "start") > F.col("f")).select("dkey", "start", F.col("f.dkey").alias("src"), F.col("f.start").alias("src_start"))
+    good = all_windows.join(doubtful, ["dkey", "start"], "left_anti")
+    runs = good.unionByName(again.join(docs, "dkey", "left_semi"))
+    return runs.select("dkey", "start", F.lit(1).alias("n"), "src", "src_start"), docs
+
+
+def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, gram: int = GRAM, texts: bool = False, check_bits: int = CHECK_BITS) -> DataFrame:
     """(doc_id, n_words, n_removed, kept_sha256, n_factors[, kept_text]) for every row."""
     common.bound_batches(docs.sparkSession)
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("text")).withColumn("dkey", F.coalesce("doc_id", F.lit(NO_ID)))
-    runs = duplicate_runs(rows.select("dkey", "text"), window, gram)
-    per = runs.groupBy(F.col("dkey").alias("r_dkey")).agg(F.collect_list(F.struct("start", "n", "src", "src_start")).alias("runs"))
-    joined = rows.join(per, F.col("dkey") == F.col("r_dkey"), "left").select("doc_id", "text", "runs")
-    return joined.mapInArrow(_cut_batches(window, texts), "doc_id long, n_words long, n_removed long, kept_sha256 string, n_factors long" + ", kept_text string" * texts)
+    rows, n_docs = _placed(docs, id_col, text_col)
+    found, _ = common.written(matched(duplicate_runs(rows.select("dkey", "text"), n_docs, window, gram, check_bits), window))
+    done = _cut(rows, found, window, texts)
+    public = ["doc_id", "n_words", "n_removed", "kept_sha256", "n_factors"] + ["kept_text"] * texts
+    proofs = done.select(F.explode("proofs").alias("p")).select("p.*")
+    differ = proofs.groupBy("src", "at", "n").agg(*[f(c).alias(f"{f.__name__}_{c}") for f in (F.min, F.max) for c in ("h1", "h2")])
+    bad, _ = common.written(differ.where("min_h1 <> max_h1 OR min_h2 <> max_h2").select("src", "at", F.col("n").alias("size")))
+    if bad.isEmpty():
+        return done.select(*public)
+    runs, again = _true_runs(rows, found, bad, window)
+    mended, _ = common.written(matched(runs, window))
+    again, _ = common.written(again)
+    kept = done.join(again, "dkey", "left_anti").select(*public)
+    return kept.unionByName(_cut(rows.join(again, "dkey", "left_semi"), mended, window, texts).select(*public))
 
 
 def op6_substrings(spark, sf_dir: str) -> DataFrame:

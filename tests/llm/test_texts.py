@@ -36,38 +36,85 @@ WORDS = re.compile(r"[^\x20\x09-\x0D]+")
 
 
 def substring_brute(rows, window=20):
-    key = lambda d: d if d is not None else substring_dedup.NO_ID
+    import xxhash
+
+    signed = lambda x: x - (1 << 64) if x >> 63 else x
+    keys = [(d is None, d or 0, signed(xxhash.xxh64_intdigest((t or "").encode(), 42))) for d, t in rows]
     first = {}
-    split = [(d, WORDS.findall(t or "")) for d, t in rows]
-    for d, w in split:
+    split = [WORDS.findall(t or "") for _, t in rows]
+    for key, w in zip(keys, split, strict=True):
         for s in range(len(w) - window + 1):
             k = tuple(w[s : s + window])
-            first[k] = min(first.get(k, (key(d), s)), (key(d), s))
-    covered = collections.defaultdict(set)
-    for d, w in split:
-        for s in range(len(w) - window + 1):
-            if first[tuple(w[s : s + window])] < (key(d), s):
-                covered[key(d)].update(range(s, s + window))
+            first[k] = min(first.get(k, (key, s)), (key, s))
     out = []
-    for d, w in split:
-        kept = [x for i, x in enumerate(w) if i not in covered[key(d)]]
+    for (d, _), key, w in zip(rows, keys, split, strict=True):
+        covered = set()
+        for s in range(len(w) - window + 1):
+            if first[tuple(w[s : s + window])] < (key, s):
+                covered.update(range(s, s + window))
+        kept = [x for i, x in enumerate(w) if i not in covered]
         out.append((d, len(w), len(w) - len(kept), hashlib.sha256(" ".join(kept).encode()).hexdigest()))
     return out
 
 
+def substring_rows(got):
+    return [(r.doc_id, r.n_words, r.n_removed, r.kept_sha256) for r in got.collect()]
+
+
 def test_substrings_equal_brute_force(docs, plain):
     got = substring_dedup.dedup_substrings(docs).collect()
     assert same_rows([(r.doc_id, r.n_words, r.n_removed, r.kept_sha256) for r in got], substring_brute(plain))
     assert sum(r.n_removed for r in got) > 100 and any(r.n_factors for r in got)
 
 
-def test_substrings_in_small_chunks_and_batches(docs, plain, spark, monkeypatch):
+def test_substrings_in_small_chunks_and_batches(docs, plain, spark):
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "5")
     try:
-        got = substring_dedup.dedup_substrings(docs, window=7, gram=3).collect()
+        got = substring_rows(substring_dedup.dedup_substrings(docs, window=7, gram=3))
     finally:
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
-    assert same_rows([(r.doc_id, r.n_words, r.n_removed, r.kept_sha256) for r in got], substring_brute(plain, 7))
+    assert same_rows(got, substring_brute(plain, 7))
+
+
+@pytest.mark.parametrize("bits", [1, 3, 8])
+def test_false_matches_are_told_apart(spark, bits):
+    """Checks of a few bits make false matches everywhere; the words decide."""
+    rng = random.Random(bits)
+    phrase = [f"p{i}" for i in range(6)]
+    word = lambda: f"w{rng.randrange(60)}"
+    base = [[word() for _ in range(14)] + phrase + [word() for _ in range(14)] for _ in range(80)]
+    rows = [(i, " ".join(w)) for i, w in enumerate(base)]
+    rows += [(100 + i, " ".join(base[i][5:] + [word() for _ in range(30)] + base[-1 - i])) for i in range(40)]
+    rows += [(200 + i, " ".join(base[rng.randrange(80)] + base[rng.randrange(80)][:22])) for i in range(40)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    assert same_rows(substring_rows(substring_dedup.dedup_substrings(df, check_bits=bits)), substring_brute(rows))
+
+
+def test_unique_texts_around_a_phrase_stay_whole(spark):
+    rng = random.Random(6)
+    word = lambda: f"w{rng.randrange(10**6)}"
+    rows = [(i, " ".join([word() for _ in range(14)] + ["six", "words", "that", "all", "texts", "share"] + [word() for _ in range(14)])) for i in range(60_000)]
+    got = substring_dedup.dedup_substrings(spark.createDataFrame(rows, "doc_id long, text string").repartition(4))
+    assert got.where("n_removed > 0").count() == 0 and got.count() == 60_000
+
+
+def test_a_text_longer_than_a_chunk(spark):
+    rng = random.Random(9)
+    words = [f"w{rng.randrange(3000)}" for _ in range(340_000)]
+    words[330_000:330_100] = words[10:110]
+    words[299_950:300_050] = words[500:600]
+    rows = [(1, " ".join(words)), (2, " ".join(words[299_990:300_025])), (3, " ".join(words[5:60]))]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert same_rows(substring_rows(substring_dedup.dedup_substrings(df)), substring_brute(rows))
+
+
+def test_greedy_factors_cover_what_the_matches_cover():
+    rng = random.Random(2)
+    for _ in range(300):
+        spans = sorted((a, a + rng.randrange(1, 20)) for a in (rng.randrange(80) for _ in range(rng.randrange(0, 12))))
+        got = substring_dedup.factors(spans)
+        assert set().union(*[range(a, e) for a, e in got]) == set().union(*[range(a, e) for a, e in spans])
+        assert set(got) <= set(spans) and all(x[1] < y[1] for x, y in zip(got, got[1:], strict=False))
 
 
 def test_substrings_of_nothing(spark):
