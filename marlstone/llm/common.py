@@ -17,11 +17,13 @@ BATCH_BYTES = 16 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's ``spark.checkpoint.dir``; where it is unset (local tests) a temporary folder."""
+    """The cluster's ``spark.checkpoint.dir``; a temporary folder where it is unset and all tasks run on this machine, as in tests."""
     global _own_dir
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if named:
         return named.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     if _own_dir is None:
         _own_dir = tempfile.mkdtemp(prefix="marlstone-")
         atexit.register(shutil.rmtree, _own_dir, ignore_errors=True)
