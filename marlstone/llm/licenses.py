@@ -198,12 +198,15 @@ def scan(text: str | None) -> dict:
     base: set[str] = set()
     notices: set[str] = set()
     tagged = False
+    at = before = 0  # spaces are counted once, from hit to hit
     for end, phrase in _machine().iter(joined):
         if phrase == TAG:
             tagged = True
             continue
         if phrase in BASE:
-            places.append(joined.count(" ", 0, end - len(phrase) - 1))
+            before += joined.count(" ", at, end)
+            at = end
+            places.append(before - phrase.count(" ") - 1)
             base.add(BASE[phrase])
         if phrase in NOTICES:
             notices.add(NOTICES[phrase])
