@@ -5,7 +5,8 @@ with its percent escapes decoded, the layer with its Unicode escapes decoded, an
 decoded (and decompressed where the bytes are gzip, zlib, bzip2, xz or zstd). A run goes on over line breaks, and is decoded in
 all four phases, so that what stands before a blob does not hide it; compressed streams are looked for at every byte. Children go on
 the worklist until nothing new appears; a layer whose content was seen at the same place of the document
-is not entered again, which ends cycles. Each character of a layer carries the range of the
+is not entered again, which ends cycles. Escapes nested deeper than ``MAX_STEPS`` (an escape of an escape of ...) are resolved to their end in one pass,
+so a text of n such levels makes a bounded number of layers and not n. Each character of a layer carries the range of the
 document that it comes from, so a match in any layer is reported as a span of the document.
 
 Defined results: a null text is empty and has no spans; bytes that are not UTF-8 stand in a layer as characters that no rule
@@ -24,6 +25,7 @@ import hashlib
 import lzma
 import re
 import zlib
+from array import array
 from collections import deque
 from collections.abc import Iterator
 from itertools import chain
@@ -45,6 +47,8 @@ STEP = 1 << 18
 OVERLAP = 1 << 20
 #: Compressed streams directly in each other that are opened; one that holds itself has no end.
 MAX_NESTED = 64
+#: Layers of escapes on escapes that are scanned one by one.
+MAX_STEPS = 8
 
 _ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
 _ACCESS = re.compile(r"AKIA[A-Z0-9]{16,}")  # a greedy run of 20 characters or more, as AKIA[A-Z0-9]+ with the length test
@@ -84,8 +88,8 @@ def _long(text: str, n: int) -> bool:
 class _Layer:
     """A decoded text; starts[i] and ends[i] give the document's range that character i comes from, or one range for all."""
 
-    def __init__(self, text: str, starts: list[int] | int, ends: list[int] | int, depth: int):
-        self.text, self.starts, self.ends, self.depth = text, starts, ends, depth
+    def __init__(self, text: str, starts: array | int, ends: array | int, depth: int, steps: int = 0):
+        self.text, self.starts, self.ends, self.depth, self.steps = text, starts, ends, depth, steps
 
     def root(self, start: int, end: int) -> tuple[int, int]:
         if isinstance(self.starts, int):
@@ -245,7 +249,8 @@ def _texts(data: bytes) -> Iterator[tuple[int, int, str]]:
 
 def _pieces(layer: _Layer, found: Iterator[tuple[int, int, list[tuple[str, int, int]]]]) -> _Layer | None:
     """The layer with each found (start, end, [(character, start, end)]) replaced."""
-    text, out, starts, ends, at = layer.text, [], [], [], 0
+    text, out, at = layer.text, [], 0
+    starts, ends = array("I"), array("I")
     flat = isinstance(layer.starts, int)
     for a, b, chars in found:
         out.append(text[at:a])
@@ -262,9 +267,44 @@ def _pieces(layer: _Layer, found: Iterator[tuple[int, int, list[tuple[str, int,
     if at == 0 and not out:
         return None
     out.append(text[at:])
+    if flat:
+        return _Layer("".join(out), layer.starts, layer.ends, layer.depth + 1, layer.steps + 1)
+    return _Layer("".join(out), starts + layer.starts[at:], ends + layer.ends[at:], layer.depth + 1, layer.steps + 1)
+
+
+_TAIL = re.compile(r"(?:%[0-7][0-9A-Fa-f]|\\(?:u\{([0-9A-Fa-f]{1,6})\}|u([0-9A-Fa-f]{4})|U([0-9A-Fa-f]{8})|x([0-9A-Fa-f]{2}))|&#[xX]([0-9A-Fa-f]{1,6});|&#([0-9]{1,7});)\Z")
+_CLOSING = frozenset("0123456789abcdefABCDEF};")
+
+
+def _resolved(layer: _Layer) -> _Layer | None:
+    """The layer with its escapes, and those that they make, resolved from left to right to their end (percent escapes of ASCII only): what is written is
+    looked at again with what stands before it, so the pass takes time in proportion to the text."""
+    flat = isinstance(layer.starts, int)
+    out: list[str] = []
+    starts, ends = array("I"), array("I")
+    changed = False
+    for i, c in enumerate(layer.text):
+        out.append(c)
+        if not flat:
+            starts.append(layer.starts[i])
+            ends.append(layer.ends[i])
+        while out[-1] in _CLOSING and (m := _TAIL.search("".join(out[-12:]))):
+            code = int(m[0][1:], 16) if m[0][0] == "%" else int(m[6]) if m[6] else int(next(g for g in m.groups()[:5] if g), 16)
+            if code > 0x10FFFF or 0xD800 <= code <= 0xDFFF:
+                break
+            n = len(m[0])
+            changed = True
+            out[-n:] = [chr(code)]
+            if not flat:
+                lo, hi = min(starts[-n:]), max(ends[-n:])
+                del starts[-n:], ends[-n:]
+                starts.append(lo)
+                ends.append(hi)
+    if not changed:
+        return None
     if flat:
         return _Layer("".join(out), layer.starts, layer.ends, layer.depth + 1)
-    return _Layer("".join(out), starts + layer.starts[at:], ends + layer.ends[at:], layer.depth + 1)
+    return _Layer("".join(out), starts, ends, layer.depth + 1)
 
 
 def _percent(text: str):
@@ -294,10 +334,13 @@ def _escapes(text: str):
 
 def _children(layer: _Layer) -> Iterator[_Layer]:
     text = layer.text
-    whole = lambda: layer if isinstance(layer.starts, int) or layer.depth else _Layer(text, list(range(len(text))), list(range(1, len(text) + 1)), 0)
-    if "%" in text and _PERCENT.search(text) and (child := _pieces(whole(), _percent(text))):
+    whole = lambda: layer if isinstance(layer.starts, int) or layer.depth else _Layer(text, array("I", range(len(text))), array("I", range(1, len(text) + 1)), 0)
+    deep = _resolved(layer) if layer.steps >= MAX_STEPS else None
+    if deep:
+        yield deep
+    if not deep and "%" in text and _PERCENT.search(text) and (child := _pieces(whole(), _percent(text))):
         yield child
-    if ("\\" in text or "&#" in text) and _ESCAPE.search(text) and (child := _pieces(whole(), _escapes(text))):
+    if not deep and ("\\" in text or "&#" in text) and _ESCAPE.search(text) and (child := _pieces(whole(), _escapes(text))):
         yield child
     if _long(text, MIN_BASE64):
         for m in _BASE64.finditer(text):
@@ -340,7 +383,7 @@ def _decoded(layer: _Layer, start: int, end: int, run: str, lines: str | None) -
             elif used:
                 yield _Layer(text, *origin(phase + at * 4 // 3, min(phase + ((at + used) * 4 + 2) // 3, len(run))), layer.depth + 1)
             else:
-                starts, ends, i = [], [], 0
+                starts, ends, i = array("I"), array("I"), 0
                 for c in text:
                     n = 1 if c < "\x80" or "\udc80" <= c <= "\udcff" else len(c.encode())
                     lo, hi = origin(phase + i * 4 // 3, min(phase + ((i + n) * 4 + 2) // 3, len(run)))
@@ -355,7 +398,7 @@ def scan(text: str | None) -> tuple[list[tuple[int, int, int]], list[tuple[int,
     text = text or ""
     base = sorted(base_spans(text))
     spans = set(base)
-    work = deque([_Layer(text, [], [], 0)])
+    work = deque([_Layer(text, array("I"), array("I"), 0)])
     seen: set[tuple] = set()
     while work:
         layer = work.popleft()
