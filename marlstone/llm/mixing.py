@@ -107,40 +107,53 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
 
 
 def _repeat(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows of (text, ..., copies, part): the whole text ``copies`` times, then its first ``part`` words."""
+    """Rows of (text, ..., plan, nth): the whole text as often as the plan says for the nth of its equal rows, then its first words."""
     for b in batches:
         names = b.schema.names
-        copies, part = b.column(names.index("__copies")), b.column(names.index("__part"))
-        own = [i for i, n in enumerate(names) if n not in ("__copies", "__part")]
+        plans, nth = b.column(names.index("__plan")), b.column(names.index("__nth"))
+        own = [i for i, n in enumerate(names) if n not in ("__plan", "__nth")]
         at = names.index("text")
         take, texts = [], []
-        for i, (c, p, t) in enumerate(zip(copies.to_pylist(), part.to_pylist(), b.column(at).to_pylist(), strict=True)):
-            for _ in range(c or 0):
+        for i, (plan, k, t) in enumerate(zip(plans.to_pylist(), nth.to_pylist(), b.column(at).to_pylist(), strict=True)):
+            copies = part = 0
+            for step in plan:
+                copies, part = step["copies"], step["part"]
+                k -= step["n"]
+                if k <= 0:
+                    break
+            for _ in range(copies):
                 take.append(i)
                 texts.append(t)
-            if p:
+            if part:
                 take.append(i)
-                words = t.encode().split(None, p)
-                texts.append(b" ".join(words[:p]).decode())
+                texts.append(b" ".join(t.encode().split(None, part)[:part]).decode())
         cols = [pa.array(texts, pa.string()) if i == at else b.column(i).take(pa.array(take, pa.int64())) for i in own]
         out = pa.RecordBatch.from_arrays(cols, [names[i] for i in own])
         for j in range(0, out.num_rows, 2_000):
             yield out.slice(j, 2_000)
 
 
+def _key(i: str, source: str, size: str) -> dict:
+    """What a row is found by, without nulls."""
+    return {
+        "__k1": F.coalesce(F.col(i).cast("long"), F.lit(0)), "__k2": F.col(i).isNull(), "__k3": F.coalesce(F.col(source).cast("string"), F.lit("")),
+        "__k4": F.col(source).isNull(), "__k5": F.col(size),
+    }
+
+
 def mixed_documents(docs: DataFrame, **params) -> DataFrame:
-    """The documents as the mix takes them, with their own columns: one row per repetition. Rows of one doc_id
-    share one decision each; a document of no words is left out, since the mix takes none of it."""
-    cols = docs.columns
-    decided = mix(docs, **params)
-    d = decided.select(F.col("doc_id").alias("__id"), F.col("source").alias("__src"), "size", "copies", "part").where((F.col("copies") > 0) | (F.col("part") > 0))
-    d = d.groupBy("__id", "__src", F.col("size").alias("__size")).agg(F.sum("copies").alias("__copies"), F.max("part").alias("__part"), F.count("*").alias("__n"))
+    """The documents as the mix takes them, with their own columns: one row per repetition. Rows of one id, source and size share out what the mix takes of
+    them, in the order of a hash of their texts, so their words are those of ``mix`` however many rows are equal. A document of no words, and a null or
+    empty text with it, is left out, since the mix takes none of it; an empty table gives no rows."""
+    cols, keys = docs.columns, ["__k1", "__k2", "__k3", "__k4", "__k5"]
+    # Whatever the number of equal rows, a source takes them whole, one of them in part and the others one time less: three entries at most.
+    plan = mix(docs, **params).withColumns(_key("doc_id", "source", "size")).groupBy(*keys, "copies", "part").agg(F.count("*").alias("n"))
+    plan = plan.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("copies", "part", "n")), asc=False).alias("__plan")).where("__plan[0].copies > 0 OR __plan[0].part > 0")
     words = F.regexp_count(F.coalesce(F.col("text"), F.lit("")), F.lit("[^ \\t-\\r]+")).cast("long")
-    rows = docs.withColumn("__w", words)
-    joined = rows.join(d, rows["doc_id"].eqNullSafe(d["__id"]) & rows["source"].eqNullSafe(d["__src"]) & (rows["__w"] == d["__size"]))
-    # Equal rows share their copies evenly, the first of them by chance of the order gets what is left.
-    out = joined.select(*[F.col(f"`{c}`") for c in cols], F.ceil(F.col("__copies") / F.col("__n")).cast("long").alias("__copies"), F.col("__part").cast("long").alias("__part"))
-    return out.mapInArrow(_repeat, docs.schema)
+    rows = docs.withColumn("__w", words).withColumns(_key("doc_id", "source", "__w")).drop("__w")
+    nth = F.row_number().over(Window.partitionBy(*keys).orderBy(F.xxhash64("text")))
+    joined = rows.withColumn("__nth", nth).join(plan, keys)
+    return joined.select(*[F.col(f"`{c}`") for c in cols], "__plan", "__nth").mapInArrow(_repeat, docs.schema)
 
 
 def op9_mix(spark, sf_dir: str) -> DataFrame:
