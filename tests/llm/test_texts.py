@@ -333,6 +333,26 @@ def test_cycles_and_bombs_end():
     assert secret_scan.scan("%zz %E9%zz \\uD800 \\u{110000} &#99999999; " + "QUJD" * 30)[2] >= 1
 
 
+@pytest.mark.parametrize("levels", [3, 7, 8, 9, 12, 400, 30_000])
+def test_deeply_nested_escapes_end_in_their_text(levels):
+    for nested in ("password%" + "25" * levels + "3Dcorrecthorse", "password\\" + "u005c" * levels + "u003dcorrecthorse", "password&" + "#38;" * levels + "#61;correcthorse"):
+        text = f"see {nested} now"
+        _, spans, layers = secret_scan.scan(text)
+        assert (4, 0, 4 + len(nested)) in spans and layers <= 2 * secret_scan.MAX_STEPS + 4
+    both = "secret=" + "%5cu0025" + "5cu0025" * levels + "41KIAB" + "Q7" * 9
+    assert secret_scan.scan(both)[2] <= 4 * secret_scan.MAX_STEPS
+
+
+def test_memory_of_escapes_in_a_long_text():
+    import tracemalloc
+
+    text = "plain words, %41 and more of them " * 30_000
+    tracemalloc.start()
+    assert secret_scan.scan(text)[2] == 1
+    assert tracemalloc.get_traced_memory()[1] < 45 * len(text)
+    tracemalloc.stop()
+
+
 def test_secret_scan_on_a_table(docs, plain, spark):
     got = secret_scan.scan_secrets(docs).collect()
     want = []
@@ -405,6 +425,16 @@ def test_each_tag_has_its_own_expression(text, expressions, labels):
     assert (got["expressions"], sorted(got["labels"])) == (expressions, labels)
 
 
+def test_places_of_many_hits_are_counted_once():
+    import time
+
+    text = "cc by nc, under the MIT license. " * 40_000
+    start = time.perf_counter()
+    got = licenses.scan(text)
+    assert time.perf_counter() - start < 5 and len(got["places"]) == 80_000
+    assert (got["places"][:4], got["places"][-1]) == ([0, 3, 7, 10], 7 * 39_999 + 3)
+
+
 def test_licenses_on_a_table(docs, plain, spark):
     tagged = spark.createDataFrame([(9, "x\n// SPDX-License-Identifier: (Apache-2.0 OR MIT)\ncode")], "doc_id long, text string")
     r = licenses.scan_licenses(tagged).first()
@@ -568,6 +598,20 @@ def test_mixed_documents_repeat_rows(spark):
     assert {d: n for d, n in taken.items() if n} == dict(have)
 
 
+def test_equal_rows_share_out_what_the_mix_takes(spark):
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    for n, m in ((30, 0), (3, 0), (7, 5), (1, 1)):
+        rows = [(1, "a b c d e f g h i j", "en", "s1", 0)] * n + [(2 + i, "k l m n", "en", "s2", 0) for i in range(m)] + [(None, "x y z", None, None, 1)] * 4 + [(1, "j i h g f e d c b a", "en", "s1", 0)] * 2
+        docs = spark.createDataFrame(rows, schema).repartition(3)
+        want, have = collections.Counter(), collections.Counter()
+        for r in mixing.mix(docs).collect():
+            want[(r.doc_id, r.source)] += r.taken
+        for r in mixing.mixed_documents(docs).collect():
+            have[(r.doc_id, r.source)] += len(r.text.split())
+        assert have == want
+    assert mixing.mixed_documents(data.empty_documents(spark)).count() == 0
+
+
 # 7 ---------------------------------------------------------------------------------------------------------------
 
 
