@@ -7,12 +7,14 @@ probability of the top grade is at least ``keep_at`` are selected.
 
 Features are sets: hashed lower-case words without the punctuation around them, and a few shapes of the whole text
 (shares of words with symbols in them, of bare symbols, of the commonest word, of words said
-twice in a row, of distinct words), each in steps. Fitting takes a bounded sample of the rated documents (``SAMPLE`` rows, those least
-by a hash of their id); its feature numbers, not its texts, come to the driver, where buckets that tell the top grade
-from the others (chi-square) get their weights. Scoring reads every document whole and has no sample.
+twice in a row, of distinct words), each in steps. Fitting takes a bounded sample of the rated documents (``SAMPLE`` ratings, those least
+by a hash of their id); its feature numbers, not its texts, come to the driver. Every bucket of at least ``MIN_DOCS`` sampled documents that tells the
+grades on the two sides of any threshold apart, by a chi-square of ``MIN_CHI2`` or more, gets a weight, however many those are; with
+``min_docs`` 1 and ``min_chi2`` 0 every bucket of the sample does. The model is one number a bucket, whatever the data. Scoring reads every document whole and has no
+sample.
 
 Defined results: null and empty texts have no features and get the thresholds' own probabilities; ratings with a null are not used;
-without any rating
+a document rated twice counts once for each of its grades, and of documents that share a rated id the one with the least features counts; without any rating
 every document has the top grade, and with a single grade the thresholds are smoothed shares of the grades; repeated rows give repeated rows; other
 columns are ignored or, by ``selected``, kept.
 """
@@ -39,7 +41,7 @@ from . import common
 SAMPLE = 12_000
 BUCKETS = 1 << 18
 GRADES = 3
-MAX_WEIGHTS, MIN_DOCS, MIN_CHI2 = 768, 6, 20.0
+MIN_DOCS, MIN_CHI2 = 6, 20.0
 KEEP_AT = 0.5
 
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
@@ -102,13 +104,28 @@ class Model:
         return 1 / (1 + np.exp(np.clip(self.thresholds - x, -500, 500)))
 
 
+def telling(y: np.ndarray, owner: np.ndarray, flat: np.ndarray, min_docs: int, min_chi2: float) -> np.ndarray:
+    """The buckets that get weights; ``owner`` is the row of each feature in ``flat``."""
+    n = len(y)
+    docs = np.bincount(flat, minlength=BUCKETS).astype(float)
+    best = np.zeros(BUCKETS)
+    for k in range(1, GRADES):
+        above = y >= k
+        share = above.mean()
+        expected = docs * share
+        spread = expected * (1 - share) * np.maximum(1 - docs / n, 1e-9)
+        off = np.bincount(flat[above[owner]], minlength=BUCKETS) - expected
+        best = np.maximum(best, np.where(spread > 0, off**2 / np.maximum(spread, 1e-9), 0))
+    return np.flatnonzero((docs >= max(1, min_docs)) & (best >= min_chi2))
+
+
 def fit(rows: list[tuple[int, list[int]]], **options) -> Model:
     """The model of (grade, features) rows."""
     flat = np.concatenate([np.array(f, np.int64) for _, f in rows if f] or [np.zeros(0, np.int64)])
     return fit_arrays(np.array([g for g, _ in rows], np.int64), np.array([len(f) for _, f in rows], np.int64), flat, **options)
 
 
-def fit_arrays(y: np.ndarray, lengths: np.ndarray, flat: np.ndarray, rounds: int = 400, ridge: float = 0.004) -> Model:
+def fit_arrays(y: np.ndarray, lengths: np.ndarray, flat: np.ndarray, rounds: int = 400, ridge: float = 0.004, min_docs: int = MIN_DOCS, min_chi2: float = MIN_CHI2) -> Model:
     """Penalized maximum likelihood by full-batch Adam, the same for the same rows; ``flat`` holds the rows' features one after the other."""
     if not len(y):
         return Model(np.zeros(0, np.int64), np.zeros(0), np.full(GRADES - 1, -50.0))
@@ -118,15 +135,8 @@ def fit_arrays(y: np.ndarray, lengths: np.ndarray, flat: np.ndarray, rounds: int
     if len(np.unique(y)) < 2:
         return Model(np.zeros(0, np.int64), np.zeros(0), start)
     owner = np.repeat(np.arange(len(y)), lengths)
-    top = y == GRADES - 1
-    docs = np.bincount(flat, minlength=BUCKETS).astype(float)
-    in_top = np.bincount(flat[top[owner]], minlength=BUCKETS)
-    n, n_top = len(y), top.sum()
-    expected = docs * n_top / n
-    spread = expected * (1 - n_top / n) * np.maximum(1 - docs / n, 1e-9)
-    chi2 = np.where((docs >= MIN_DOCS) & (spread > 0), (in_top - expected) ** 2 / np.maximum(spread, 1e-9), 0)
-    chosen = np.sort(np.argsort(-chi2, kind="stable")[:MAX_WEIGHTS])
-    chosen = chosen[chi2[chosen] >= MIN_CHI2]
+    n = len(y)
+    chosen = telling(y, owner, flat, min_docs, min_chi2)
     place = np.full(BUCKETS, -1)
     place[chosen] = np.arange(len(chosen))
     ok = place[flat] >= 0
@@ -156,17 +166,19 @@ def _feature_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBat
         yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([features(x.as_py()) for x in b.column(2)], pa.list_(pa.int32()))], ["r_id", "grade", "features"])
 
 
-def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE) -> Model:
+def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE, **options) -> Model:
+    """The model of the sampled ratings; at most ``sample`` rows of features come to the driver."""
     common.bound_batches(docs.sparkSession)
     rated = labels.where("doc_id IS NOT NULL AND quality IS NOT NULL AND toxic IS NOT NULL")
     rated = rated.select(F.col("doc_id").cast("long").alias("r_id"), (F.col("quality").cast("int") + 1 - F.col("toxic").cast("int")).alias("grade")).where(F.col("grade").between(0, GRADES - 1))
-    rated = rated.orderBy(F.xxhash64("r_id"), "r_id", "grade").limit(sample)  # the bound of what is broadcast and collected
+    rated = rated.distinct().orderBy(F.xxhash64("r_id"), "r_id", "grade").limit(sample)  # the bound of what is broadcast and collected
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("text")).join(F.broadcast(rated), F.col("doc_id") == F.col("r_id"))
-    rows = rows.select("r_id", "grade", "text").mapInArrow(_feature_batches, "r_id long, grade int, features array<int>").limit(2 * sample)
+    rows = rows.select("r_id", "grade", "text").mapInArrow(_feature_batches, "r_id long, grade int, features array<int>")
+    rows = rows.groupBy("r_id", "grade").agg(F.min("features").alias("features"))
     got = rows.toArrow().sort_by([("r_id", "ascending"), ("grade", "ascending")]).combine_chunks()
     found = got.column("features").combine_chunks()
     lengths = pa.compute.list_value_length(found).to_numpy(zero_copy_only=False).astype(np.int64)
-    return fit_arrays(got.column("grade").to_numpy().astype(np.int64), lengths, found.flatten().to_numpy().astype(np.int64))
+    return fit_arrays(got.column("grade").to_numpy().astype(np.int64), lengths, found.flatten().to_numpy().astype(np.int64), **options)
 
 
 def _score_batches(model):
@@ -179,7 +191,7 @@ def _score_batches(model):
 
 
 def scored(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, expected_grade, p_ge_1, p_ge_2) for every row. The model is broadcast: MAX_WEIGHTS numbers at most."""
+    """(doc_id, expected_grade, p_ge_1, p_ge_2) for every row. The model is broadcast: at most a number and a place for each of BUCKETS."""
     common.bound_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("text"))

@@ -4,6 +4,7 @@ import collections
 import gzip
 import hashlib
 import lzma
+import math
 import random
 import re
 import zlib
@@ -642,6 +643,61 @@ def test_held_out_accuracy():
     assert np.corrcoef(grades, [g for g, _ in rows[1000:]])[0, 1] > 0.8
 
 
+def slow_tails(model, found):
+    weights = dict(zip(model.buckets.tolist(), model.weights.tolist(), strict=True))
+    x = sum(weights.get(f, 0.0) for f in found)
+    return [1 / (1 + math.exp(t - x)) for t in model.thresholds]
+
+
+def slow_loss(rows, weights, thresholds, ridge=0.004):
+    """The penalized negative log likelihood, row by row."""
+    total = 0.0
+    for g, found in rows:
+        x = sum(weights.get(f, 0.0) for f in found)
+        tails = [1.0, *(1 / (1 + math.exp(t - x)) for t in thresholds), 0.0]
+        total -= math.log(max(tails[g] - tails[g + 1], 1e-12))
+    return total + ridge * len(rows) * 0.01 / 2 * sum(w * w for w in weights.values())
+
+
+def test_the_fit_is_an_optimum_of_the_plain_likelihood():
+    rng = random.Random(8)
+    rows = [(g, sorted({rng.randrange(12) for _ in range(4)} | ({20 + rng.randrange(3)} if rng.random() < 0.6 else set()) | ({30} if g == 0 and rng.random() < 0.5 else set()))) for g in (rng.choice((0, 1, 1, 2, 2, 2)) for _ in range(260))]
+    rows = [(min(2, g + (20 in f)), f) for g, f in rows]
+    m = quality.fit(rows, rounds=4000, min_docs=1, min_chi2=0.0)
+    assert sorted({x for _, f in rows for x in f}) == m.buckets.tolist()
+    weights, thresholds = dict(zip(m.buckets.tolist(), m.weights.tolist(), strict=True)), m.thresholds.tolist()
+    least = slow_loss(rows, weights, thresholds)
+    for d in (0.02, -0.02):
+        assert all(slow_loss(rows, weights | {b: w + d}, thresholds) > least - 2e-3 for b, w in weights.items())
+        assert all(slow_loss(rows, weights, [t + d * (k == j) for j, t in enumerate(thresholds)]) > least - 2e-3 for k in range(2))
+    start = slow_loss(rows, dict.fromkeys(weights, 0.0), thresholds)
+    assert least < start - 5
+
+
+def test_buckets_are_chosen_over_all_grades():
+    # Bucket 5 tells grade 0 from the others and nothing about the top grade; no number of buckets is too many.
+    rows = [(0, [5])] * 40 + [(1, [6])] * 80 + [(2, [6])] * 120 + [(1, [5])] * 4 + [(2, [5])] * 6
+    assert 5 in quality.fit(rows).buckets
+    many = [(g, [1000 * g + 100 + k for k in range(900)]) for g in (0, 1, 2) for _ in range(60)]
+    assert len(quality.fit(many, rounds=3).buckets) == 2700
+
+
+def test_scores_equal_a_plain_loop(docs, plain, spark):
+    ratings = spark.createDataFrame([(i, int(i % 3 > 0), int(i % 5 == 0)) for i in range(60)], "doc_id long, quality int, toxic int")
+    m = quality.train(docs, ratings, min_docs=1, min_chi2=0.0)
+    again = quality.train(docs.repartition(7).union(docs), ratings.union(ratings), min_docs=1, min_chi2=0.0)
+    assert (m.buckets == again.buckets).all() and (m.weights == again.weights).all() and (m.thresholds == again.thresholds).all()
+    want = []
+    for d, t in plain:
+        tails = slow_tails(m, quality.features((t or "").encode()))
+        want.append((d, *(round(x, 9) for x in (sum(tails), *tails))))
+    got = quality.scored(docs, m).collect()
+    assert same_rows([(r.doc_id, round(r.expected_grade, 9), round(r.p_ge_1, 9), round(r.p_ge_2, 9)) for r in got], want)
+    assert len({round(r.p_ge_2, 3) for r in got}) > 10
+    kept = quality.selected(docs, m).collect()
+    assert same_rows([r.doc_id for r in kept], [r.doc_id for r in got if r.p_ge_2 >= quality.KEEP_AT])
+
+
 def test_held_out_accuracy_on_the_given_table(spark):
     docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
     labels = spark.read.parquet("/root/testdata/sf0.1/labels.parquet")
