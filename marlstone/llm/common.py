@@ -8,6 +8,7 @@ import shutil
 import tempfile
 import uuid
 from collections.abc import Callable, Iterable
+from itertools import filterfalse
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -54,33 +55,66 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+class _Words(dict):
+    """A generation of a memo; a word that is not in it is looked for in the older one, or computed."""
+
+    def __init__(self, memo: WordMemo):
+        self.memo = memo
+
+    def __missing__(self, word):
+        return self.memo.missed(word)
+
+
 class WordMemo:
-    """Memo of a pure function of a word in two generations of at most ``cap`` words each, so a
-    worker's memory is bounded whatever the vocabulary. ``many`` computes a set of new words.
+    """Memo of a pure function of a word in two generations of at most about ``cap`` words each, none longer than ``LONGEST``, so a
+    worker's memory is bounded whatever the vocabulary. ``many`` computes a set of new words, ``one`` a single word.
 
     A worker serves one operator after the other, and only the one at work keeps its memos: the first use by another
     ``owner`` empties them."""
 
+    #: Characters or bytes of the longest word that is remembered.
+    LONGEST = 64
     active = ""
     every: list[WordMemo] = []
 
-    def __init__(self, many: Callable[[Iterable], dict], cap: int = 200_000, owner: str = "one"):
+    def __init__(self, many: Callable[[Iterable], dict] | None, cap: int = 200_000, owner: str = "one", one: Callable | None = None):
         self.many, self.cap, self.owner = many, cap, owner
-        self.new: dict = {}
+        self.one = one or (lambda word: many([word])[word])
+        self.new: dict = _Words(self)
         self.old: dict = {}
+        self.long: list = []
         WordMemo.every.append(self)
 
-    def table(self, words: list) -> dict:
-        """A dict that holds every word of ``words``."""
+    def _turn(self) -> None:
         if WordMemo.active != self.owner:
             WordMemo.active = self.owner
             for m in WordMemo.every:
                 if m.owner != self.owner:
-                    m.new, m.old = {}, {}
+                    m.new, m.old, m.long = _Words(m), {}, []
+        for w in self.long:
+            self.new.pop(w, None)
+        self.long = []
         if len(self.new) > self.cap:
-            self.old, self.new = self.new, {}
+            self.old, self.new = self.new, _Words(self)
+
+    def missed(self, word):
+        found = self.old.get(word)
+        if found is None:
+            found = self.one(word)
+        if len(word) <= self.LONGEST:
+            self.new[word] = found
+        return found
+
+    def getter(self) -> Callable:
+        """The function, for the words of one text (which may take the memo beyond ``cap``)."""
+        self._turn()
+        return self.new.__getitem__
+
+    def table(self, words: list) -> dict:
+        """A dict that holds every word of ``words``; the new ones are computed together."""
+        self._turn()
         new, old = self.new, self.old
-        missing = set(words).difference(new)
+        missing = set(filterfalse(new.__contains__, words))
         if missing:
             fresh = []
             for w in missing:
@@ -90,4 +124,5 @@ class WordMemo:
                     fresh.append(w)
             if fresh:
                 new.update(self.many(fresh))
+            self.long = [w for w in missing if len(w) > self.LONGEST]
         return new

@@ -64,35 +64,29 @@ class _WordEncoder:
         shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
         rest = [b for b in range(256) if b not in set(shown)]
         self.shown = {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(rest)}
-        self.pieces = common.WordMemo(self._pieces, 200_000, "packing")
-        self.words = common.WordMemo(self._words, 300_000, "packing")
-
-    def _pieces(self, pieces):
-        out = {}
-        for p in pieces:
-            shown = p if p.isascii() else "".join([self.shown[b] for b in p.encode()])
-            out[p] = array("I", [t.id for t in self.model.tokenize(shown)]).tobytes()
-        return out
-
-    def _plain(self, w: str) -> bool:
-        return self.plain(w) is not None and "<|" not in w
-
-    def _words(self, words):
-        out, cut = {}, {}
-        for w in words:
-            if self._plain(w):
-                cut[w] = self.cut(w.lower())
-            else:
-                out[w] = array("I", self.tok.encode(w, add_special_tokens=False).ids).tobytes()
-        ids = self.pieces.table([p for c in cut.values() for p in c])
-        for w, c in cut.items():
-            out[w] = b"".join([ids[p] for p in c])
-        return out
+        self.pieces = common.WordMemo(None, 200_000, "packing", self._piece)
+        self.words = common.WordMemo(None, 300_000, "packing", self._word)
+        self.piece = self.pieces.getter()
+
+    def _piece(self, piece: str) -> bytes:
+        shown = piece if piece.isascii() else "".join([self.shown[b] for b in piece.encode()])
+        return array("I", [t.id for t in self.model.tokenize(shown)]).tobytes()
+
+    def _word(self, w: str) -> bytes:
+        if w.isascii() and w.isprintable() or self.plain(w):
+            # Letters alone, or with one mark behind them, are cut without the pattern.
+            if w.isalpha():
+                return self.piece(w.lower())
+            if w[:-1].isalpha() and not w[-1].isalnum():
+                return self.piece(w[:-1].lower()) + self.piece(w[-1])
+            if "<|" not in w:
+                return b"".join(map(self.piece, self.cut(w.lower())))
+        return array("I", self.tok.encode(w, add_special_tokens=False).ids).tobytes()
 
     def __call__(self, text: str) -> bytes:
-        words = text.replace("\n", " ").split(" ")
-        ids = self.words.table(words)
-        return b"".join([ids[w] for w in words])
+        words = self.words.getter()
+        self.piece = self.pieces.getter()
+        return b"".join(map(words, text.replace("\n", " ").split(" ")))
 
 
 def encoder(path: str) -> _WordEncoder:

@@ -114,9 +114,7 @@ def _index_chunk(keys: list[int], texts: list[list[bytes]], offset: int, window:
     """The index rows of documents with distinct keys in ascending order (``offset``: the words before the only one): the first occurrence of each window,
     and rows without checks for the windows that are resolved here."""
     sizes = np.array([len(t) for t in texts], np.int64)
-    words = [w for t in texts for w in t]
-    known = _hashes.table(words)
-    hashed = np.fromiter([known[w] for w in words], np.uint64, len(words))
+    hashed = np.concatenate([np.fromiter(map(_hashes.getter(), t), np.uint64, len(t)) for t in texts])
     firsts = np.cumsum(sizes) - sizes
     doc_of = np.repeat(np.arange(len(texts)), sizes - window + 1)
     at = _ragged(sizes - window + 1) + np.repeat(firsts, sizes - window + 1)
