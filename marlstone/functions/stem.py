@@ -1,8 +1,9 @@
-"""The simplified English stemmer (FTS-03), applied once per distinct term."""
+"""The simplified English stemmer (FTS-03), applied once per distinct term of a batch. Letters outside ASCII count as consonants that are never doubled."""
 
 from __future__ import annotations
 
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -41,7 +42,7 @@ def _short_end(word: str) -> bool:
     if len(word) < 3:
         return False
     a, b, c = word[-3:]
-    return a not in VOWELS and b in VOWELS and c not in VOWELS and c not in "wxy"
+    return a not in VOWELS and b in VOWELS and c.isascii() and c not in VOWELS and c not in "wxy"
 
 
 def _swap(word: str, table) -> str:
@@ -70,7 +71,7 @@ def stem(word: str) -> str:
                 if _has_vowel(root):
                     if root.endswith(("at", "bl", "iz")):
                         w = root + "e"
-                    elif len(root) >= 2 and root[-1] == root[-2] and root[-1] not in VOWELS and root[-1] not in "lsz":
+                    elif len(root) >= 2 and root[-1] == root[-2] and root[-1].isascii() and root[-1] not in VOWELS and root[-1] not in "lsz":
                         w = root[:-1]
                     elif _measure(root) == 1 and _short_end(root):
                         w = root + "e"
@@ -95,10 +96,43 @@ def stem(word: str) -> str:
     return w
 
 
-def _stems(terms: pd.Series) -> pd.Series:
-    known = {t: stem(t) for t in terms.dropna().unique()}
-    return terms.map(known)
+#: Stems of terms in a worker, of TERMS terms at most.
+_known: dict[str, str] = {}
+TERMS = 500_000
+
+
+def _looked_up(terms: pa.Array) -> pa.Array:
+    """The stems of an array of terms, each distinct one computed once."""
+    if len(_known) > TERMS:
+        _known.clear()
+    coded = terms.dictionary_encode()
+    out = []
+    for t in coded.dictionary.to_pylist():
+        found = _known.get(t)
+        if found is None:
+            found = stem(t)
+            if len(t) <= 64:
+                _known[t] = found
+        out.append(found)
+    return pa.array(out, pa.string()).take(coded.indices)
 
 
 def stemmed(terms: Column | str) -> Column:
-    return F.pandas_udf(_stems, "string")(terms)
+    """The stem of each term; null of null."""
+
+    def run(x: pa.Array) -> pa.Array:
+        return _looked_up(x)
+
+    return F.arrow_udf(run, "string")(terms)
+
+
+def stemmed_lists(tokens: Column) -> Column:
+    """The stems of lists of terms, in order; null of null."""
+
+    def run(x: pa.Array) -> pa.Array:
+        counts = pa.compute.fill_null(pa.compute.list_value_length(x), 0)
+        ends = pa.compute.cumulative_sum(counts).to_pylist()
+        offsets = pa.array([0, *ends], pa.int32())
+        return pa.ListArray.from_arrays(offsets, _looked_up(x.flatten().cast(pa.string())), mask=x.is_null() if x.null_count else None)
+
+    return F.arrow_udf(run, "array<string>")(tokens)

@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 
 # The stop words.
 STOP_WORDS = (
-    "a", "an", "and", "are", "as", "at", "be", "by", "for", "from", "has", "in", "is", "it", "its",
-    "of", "on", "that", "the", "to", "was", "were", "will", "with", "he",
+    "a", "an", "and", "are", "as", "at", "be", "by", "for", "from", "has", "he", "in", "is", "it",
+    "its", "of", "on", "that", "the", "to", "was", "were", "will", "with",
 )
 
 
@@ -41,10 +41,26 @@ def token_count(text: Column, stop_words: Sequence[str] = STOP_WORDS) -> Column:
     return F.regexp_count(F.lower(F.coalesce(text, F.lit(""))), F.lit(f"(?<!{_RUN})(?!{dropped}(?!{_RUN})){_RUN}++"))
 
 
-def term_count(text: Column, term: str) -> Column:
-    """How often a token occurs; texts without it are told apart by a plain substring search."""
+def _common_start(words: Sequence[str]) -> str:
+    a, b = min(words), max(words)
+    n = next((i for i, (x, y) in enumerate(zip(a, b, strict=False)) if x != y), min(len(a), len(b)))
+    return a[:n]
+
+
+def term_count(text: Column, forms: Sequence[str]) -> Column:
+    """How often any of these tokens occurs; texts without their common start are told apart by a plain substring search."""
+    if not forms:
+        return F.lit(0)
+    low = F.lower(F.coalesce(text, F.lit("")))
+    pattern = "|".join(quoted(w) for w in sorted(forms, reverse=True))
+    return F.when(low.contains(_common_start(forms)), F.regexp_count(low, F.lit(f"(?<!{_RUN})(?:{pattern})(?!{_RUN})"))).otherwise(0)
+
+
+def tokens_like(text: Column, starts: Sequence[str]) -> Column:
+    """The distinct lower-cased runs that begin with one of ``starts``."""
     low = F.lower(F.coalesce(text, F.lit("")))
-    return F.when(low.contains(term), F.regexp_count(low, F.lit(f"(?<!{_RUN}){quoted(term)}(?!{_RUN})"))).otherwise(0)
+    pattern = "|".join(quoted(w) for w in sorted(starts, reverse=True))
+    return F.array_distinct(F.regexp_extract_all(low, F.lit(f"(?<!{_RUN})((?:{pattern}){_RUN}*+)"), F.lit(1)))
 
 
 def query_tokens(text: str, stop_words: Sequence[str] = STOP_WORDS) -> list[str]:

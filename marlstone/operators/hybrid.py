@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 
 def rank_from_zero(hits: DataFrame, score: str, ids: Sequence[str], descending: bool = True, name: str = "rank") -> DataFrame:
-    """WIN-02. The hits are a top-k result, so one task ranks a bounded number of rows."""
+    """WIN-02. The hits are a top-k result, so one task ranks a bounded number of rows; give scores that are not rounded."""
     order = F.desc(score) if descending else F.asc(score)
     return hits.withColumn(name, F.row_number().over(Window.orderBy(order, *ids)) - 1)
 
@@ -22,8 +22,9 @@ def fuse(text_hits: DataFrame, vector_hits: DataFrame, ids: Sequence[str], k: in
     constant = constant if constant > 0 else 60
     part = lambda c, w: F.coalesce(F.lit(w) / (F.col(c) + (constant + 1)), F.lit(0.0))
     both = text_hits.select(*ids, "text_rank").join(vector_hits.select(*ids, "vector_rank"), list(ids), "full")
-    score = F.round(part("text_rank", weights[0]) + part("vector_rank", weights[1]), 6)
-    return both.select(*ids, "text_rank", "vector_rank", score.alias("score")).orderBy(F.desc("score"), *ids).limit(k)
+    score = part("text_rank", weights[0]) + part("vector_rank", weights[1])
+    best = both.select(*ids, "text_rank", "vector_rank", score.alias("score")).orderBy(F.desc("score"), *ids).limit(k)
+    return best.withColumn("score", F.round("score", 6))
 
 
 def rrf(rank: Column, constant: int = 60) -> Column:
