@@ -6,9 +6,10 @@ import heapq
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import predicates as P
 from . import pipelines
 from .sequential import TokenBucket
 
@@ -75,6 +76,20 @@ def hooks_in_order(hooks: DataFrame, needs: dict[str, list[str]]) -> DataFrame:
     return hooks.join(F.broadcast(order), "plugin", "left").orderBy(F.asc_nulls_last("plugin_order"), F.desc("priority"), "seq")
 
 
+def placed_hooks(hooks: DataFrame, needs: dict[str, list[str]], span: int = 10_000) -> DataFrame:
+    """All hooks with their ``place`` in that order, from 1; plugins that ``needs`` does not name come last, by name. Hooks are counted by plugin, priority and span
+    of registrations; the running sums are over those counts, and rows are numbered within a span only."""
+    order = hooks.sparkSession.createDataFrame([(n, i) for i, n in enumerate(pipelines.topological_order(needs))], "plugin string, plugin_order int")
+    keys = ["plugin_order", "plugin", "priority", "__span"]
+    named = hooks.join(F.broadcast(order), "plugin", "left").withColumn("__span", F.floor(F.col("seq") / span))
+    named = named.withColumn("plugin_order", F.coalesce("plugin_order", F.lit(2**31 - 1)))
+    counts = named.groupBy(*keys).agg(F.count("*").alias("n"))
+    before = Window.orderBy("plugin_order", "plugin", F.desc("priority"), "__span").rowsBetween(Window.unboundedPreceding, -1)
+    counts = counts.withColumn("before", F.coalesce(F.sum("n").over(before), F.lit(0))).drop("n")
+    within = F.row_number().over(Window.partitionBy(*keys).orderBy("seq"))
+    return named.withColumn("__at", within).join(counts, keys).withColumn("place", F.col("before") + F.col("__at")).drop("__span", "__at", "before")
+
+
 @dataclass(frozen=True)
 class Hook:
     """UDF-04, UDF-07: ``verdict`` is a column of booleans, null where the handler failed; ``when`` guards it."""
@@ -100,6 +115,28 @@ def resolved(name: str, inside: pipelines.Registry, outside: pipelines.Registry)
     return inside.plugins.get(name) or outside.plugins.get(name)
 
 
+#: UDF-05: the imports of a plugin's host that read or write data, and the capability that each needs.
+IMPORTS = {"storage.get": "storage:read", "storage.put": "storage:write", "vector.search": "vector:search", "state.get": "state:kv", "state.put": "state:kv", "event.emit": "event:publish"}
+
+
+def host_calls(calls: DataFrame, grants: DataFrame, objects: DataFrame) -> DataFrame:
+    """The calls (call_id, plugin, import, bucket, key, ...) of plugins to their host with ``status`` and ``size`` (UDF-05): ``unknown`` for an import there is not, ``denied``
+    where no grant (plugin, capability) covers the import's capability for the bucket, else what the call gives: for a storage read ``ok`` and the object's size or
+    ``not_found``, ``queued`` for an event, ``ok`` for the others, whose rows go on to ``sequential.fold``, ``segments.in_bucket`` or ``writes.put_objects``. Grants are configuration, broadcast as one row."""
+    need = F.create_map(*[F.lit(x) for kv in IMPORTS.items() for x in kv])
+    table = grants.groupBy("plugin").agg(F.collect_set("capability").alias("caps")).agg(F.map_from_entries(F.collect_list(F.struct("plugin", "caps"))).alias("__grants"))
+    wanted = F.concat_ws(":", F.try_element_at(need, F.col("import")), "bucket")
+    held = F.coalesce(F.exists(F.try_element_at("__grants", F.col("plugin")), lambda g: P.capability_match(g, wanted)), F.lit(False))
+    known = F.try_element_at(need, F.col("import")).isNotNull()
+    asked = calls.join(F.broadcast(table)).withColumn("__held", held).drop("__grants")
+    there = objects.select(F.col("bucket").alias("__b"), F.col("key").alias("__k"), F.col("size").alias("__size"))
+    reads = asked["import"] == "storage.get"
+    found = asked.join(there, reads & asked["__held"] & (asked["bucket"] == there["__b"]) & (asked["key"] == there["__k"]), "left")
+    done = F.when(F.col("import") == "storage.get", F.when(F.col("__b").isNull(), "not_found").otherwise("ok")).when(F.col("import") == "event.emit", "queued").otherwise("ok")
+    status = F.when(~known, "unknown").when(~F.col("__held"), "denied").otherwise(done)
+    return found.withColumn("status", status).withColumn("size", F.col("__size")).drop("__b", "__k", "__size", "__held")
+
+
 def write_tasks(objects: DataFrame, vectors: bool = True, text: bool = True, steps: bool = True) -> DataFrame:
     """(bucket, key, kind): PIP-08. The tasks that follow a write; columns skip_vectorize and skip_fts leave theirs out."""
     no = lambda c: ~F.coalesce(F.col(c), F.lit(False))

@@ -7,14 +7,15 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.tables import written
 from . import ann, knn
 
 
 def insert(rows: DataFrame, new: DataFrame, id_col: str = "vec_id") -> DataFrame:
     """VEC-17: ``new`` (without ids) appended as one more segment; ids continue above the largest one. They grow but need not be dense, so
-    no task counts the rows of another. One row of statistics is broadcast."""
+    no task counts the rows of another; the numbered rows are written first, so a task that runs again gives the same ids. One row of statistics is broadcast."""
     last = rows.agg(F.coalesce(F.max(id_col), F.lit(-1)).alias("__last"), F.coalesce(F.max("segment_id"), F.lit(-1)).alias("__segment"))
-    dealt = new.withColumn("__n", F.monotonically_increasing_id()).join(F.broadcast(last))
+    dealt = written(new.withColumn("__n", F.monotonically_increasing_id())).join(F.broadcast(last))
     added = dealt.withColumn(id_col, F.col("__last") + 1 + F.col("__n")).withColumn("segment_id", F.col("__segment") + 1)
     return rows.unionByName(added.drop("__last", "__segment", "__n"))
 
@@ -58,8 +59,8 @@ def _flat(vecs, query, k, **params):
     return knn.nearest(vecs, query, k, **params)
 
 
-def _graph(vecs, query, k, **params):
-    return ann.graph_search(vecs, query, k, **params)
+def _graph(vecs, query, k, id_col="vec_id", vec_col="embedding", **params):
+    return ann.graph_search(written(ann.graph_index(vecs, id_col=id_col, vec_col=vec_col, **params)), query, k, id_col)
 
 
 #: VEC-23: index kinds by their names.

@@ -7,12 +7,13 @@ from pyspark.sql import functions as F
 from ..functions import embedding
 from ..functions import scalars as S
 from ..functions import text as T
-from ..operators import catalog, hosting, ops, policy, segments
+from ..operators import catalog, hosting, ops, pipelines, policy, segments
 from ..operators.sequential import fold
-from ..sources.tables import table
+from ..sources import sinks
+from ..sources.tables import shared_folder, table, written
 from .registry import query
 from .rules import _HITS, requests, statements
-from .search import _COS, _Q, query_vector, vecs
+from .search import TOKENS, _Q, knn_sql, query_vector, vecs
 
 
 # SRC-01: one object; none is no row.
@@ -55,28 +56,28 @@ def pol_temporary(spark, sf_dir):
 # JON-15.
 @query(
     "grf_dependency_edges",
-    "SELECT DISTINCT 'p' || n_nationkey AS name, 'p' || need AS needs, need < 20 AS installed FROM (SELECT n_nationkey, unnest([n_regionkey, n_nationkey + 1]) AS need FROM nation WHERE n_nationkey < 20)",
+    "SELECT DISTINCT 'p' || n_nationkey AS name, 'p' || need AS needs, need IN (SELECT n_nationkey FROM nation) AS installed FROM (SELECT n_nationkey, unnest([n_regionkey, n_nationkey + 1]) AS need FROM nation)",
 )
 def grf_dependency_edges(spark, sf_dir):
-    n = table(spark, sf_dir, "nation").where("n_nationkey < 20")
+    n = table(spark, sf_dir, "nation")
     name = lambda c: F.concat(F.lit("p"), c.cast("string"))
     return hosting.dependency_edges(n.select(name(F.col("n_nationkey")).alias("name"), F.array(name(F.col("n_regionkey")), name(F.col("n_nationkey") + 1)).alias("depends_on")))
 
 
-# TOP-08, GRF-03.
+#: What the plugins named by the brands need.
+_NEEDS = {f"Brand#{a}{b}": [f"Brand#{a}{b + 2}"] if b <= 3 else [f"Brand#{a + 1}1"] if b == 5 and a < 5 else [] for a in range(1, 6) for b in range(1, 6)}
+_ORDER = ", ".join(f"('{n}', {i})" for i, n in enumerate(pipelines.topological_order(_NEEDS)))
+
+
+# TOP-08, GRF-03: all hooks, in the order in which they run.
 @query(
     "top_hook_order",
-    """SELECT p_partkey AS seq, p_brand AS plugin, p_size AS priority, row_number() OVER (ORDER BY CASE WHEN p_brand = 'Brand#11' THEN 1 ELSE 0 END, p_brand, p_size DESC, p_partkey) AS place
-FROM part WHERE p_brand IN ('Brand#11', 'Brand#12', 'Brand#13') QUALIFY place <= 40""",
+    f"""WITH o(p_brand, plugin_order) AS (VALUES {_ORDER})
+SELECT p_partkey AS seq, p_brand AS plugin, p_size AS priority, row_number() OVER (ORDER BY plugin_order NULLS LAST, p_brand, p_size DESC, p_partkey) AS place FROM part LEFT JOIN o USING (p_brand)""",
 )
 def top_hook_order(spark, sf_dir):
-    from pyspark.sql import Window
-
-    p = table(spark, sf_dir, "part").where("p_brand IN ('Brand#11', 'Brand#12', 'Brand#13')")
-    hooks = p.select(F.col("p_partkey").alias("seq"), F.col("p_brand").alias("plugin"), F.col("p_size").alias("priority"))
-    ordered = hosting.hooks_in_order(hooks, {"Brand#11": ["Brand#13"], "Brand#12": [], "Brand#13": ["Brand#12"]}).limit(40)
-    place = F.row_number().over(Window.orderBy("plugin_order", F.desc("priority"), "seq"))  # over the 40 kept
-    return ordered.withColumn("place", place.cast("long")).select("seq", "plugin", "priority", "place")
+    hooks = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("seq"), F.col("p_brand").alias("plugin"), F.col("p_size").alias("priority"))
+    return hosting.placed_hooks(hooks, _NEEDS).select("seq", "plugin", "priority", "place")
 
 
 # TOP-11: backups, the newest first, and increments by where they start.
@@ -230,7 +231,7 @@ def udf_hook_decisions(spark, sf_dir):
 
 
 # UDF-08.
-@query("udf_bucket_search", f"WITH {_Q} SELECT vec_id, {_COS} AS distance FROM v, q WHERE label = 3 ORDER BY distance, vec_id LIMIT 10")
+@query("udf_bucket_search", f"WITH {_Q}, {knn_sql(where='label = 3')} SELECT vec_id, distance FROM n")
 def udf_bucket_search(spark, sf_dir):
     return segments.in_bucket(vecs(spark, sf_dir).withColumn("bucket", F.col("label").cast("string")), "3", query_vector(spark, sf_dir))
 
@@ -248,7 +249,7 @@ def vec_insert_segment(spark, sf_dir):
 
 
 # VEC-19, VEC-23, D22.
-@query("vec_deleted_search", f"WITH {_Q} SELECT vec_id, {_COS} AS distance FROM v, q WHERE label <> 2 ORDER BY distance, vec_id LIMIT 10")
+@query("vec_deleted_search", f"WITH {_Q}, {knn_sql(where='label <> 2')} SELECT vec_id, distance FROM n")
 def vec_deleted_search(spark, sf_dir):
     e = vecs(spark, sf_dir)
     return segments.search(segments.deleted(e, e.where("label = 2"), ["vec_id"]), query_vector(spark, sf_dir), kind="FLAT")
@@ -268,32 +269,35 @@ def set_merged_segments(spark, sf_dir):
 # VEC-28, OPT-04: 4 hot rows are found, so cold ones fill the rest.
 @query(
     "vec_hot_first",
-    f"""WITH {_Q}, h AS (SELECT vec_id, {_COS} AS distance FROM v, q WHERE vec_id < 4 ORDER BY distance, vec_id LIMIT 10), c AS (SELECT vec_id, {_COS} AS distance FROM v, q WHERE vec_id >= 4 ORDER BY distance, vec_id LIMIT 6)
-SELECT * FROM h UNION ALL SELECT * FROM c""",
+    f"""WITH {_Q}, {knn_sql(where="vec_id < 4", name="h")}, {knn_sql(where="vec_id >= 4", k=6, name="c")}
+SELECT vec_id, distance FROM h UNION ALL SELECT vec_id, distance FROM c""",
 )
 def vec_hot_first(spark, sf_dir):
     return segments.planned_search(vecs(spark, sf_dir).withColumn("hot", F.col("vec_id") < 4), query_vector(spark, sf_dir))[0]
 
 
-# SNK-08: lines of the access log; files turn by rows (maxRecordsPerFile), not by bytes.
+# SNK-08: the access log, written in files of a bounded size and read again.
 @query("snk_access_log", "SELECT strftime(ts, '%Y-%m-%dT%H:%M:%S') || ' ' || user_id || ' ' || event_type || ' ' || event_id AS value FROM events")
 def snk_access_log(spark, sf_dir):
     e = table(spark, sf_dir, "events")
-    return e.select(F.concat_ws(" ", F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss"), F.col("user_id").cast("string"), "event_type", F.col("event_id").cast("string")).alias("value"))
+    lines = e.select(F.concat_ws(" ", F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss"), F.col("user_id").cast("string"), "event_type", F.col("event_id").cast("string")).alias("value"))
+    return spark.read.text(sinks.write_lines(lines, shared_folder(spark, "log"), most_bytes=1 << 20))
 
 
-# SNK-13: sizes only; the storage below Spark keeps the copies.
-@query("snk_shards", "SELECT page_id, ceil((8 + strlen(html)) / 4)::BIGINT AS shard_size, (4 * ceil((8 + strlen(html)) / 4) - 8 - strlen(html))::BIGINT AS padding FROM pages")
+# SNK-13: shards written, read again and joined; the storage below Spark keeps the copies.
+@query("snk_shards", "SELECT page_id, ceil((8 + strlen(html)) / 4)::BIGINT AS shard_size, (4 * ceil((8 + strlen(html)) / 4) - 8 - strlen(html))::BIGINT AS padding, sha256(html) AS sha FROM pages")
 def snk_shards(spark, sf_dir):
     size, padding = S.shard_sizes(F.octet_length("html").cast("long"))
-    return table(spark, sf_dir, "pages").select("page_id", size.alias("shard_size"), padding.alias("padding"))
+    p = table(spark, sf_dir, "pages").select("page_id", F.col("html").cast("binary").alias("content"), size.alias("shard_size"), padding.alias("padding"))
+    back = sinks.joined_shards(written(sinks.shards(p.select("page_id", "content"), "page_id")), "page_id")
+    return p.drop("content").join(back, "page_id").select("page_id", "shard_size", "padding", F.sha2("content", 256).alias("sha"))
 
 
-# FTS-11, SET-01: the postings of all segments are those of the whole.
-@query("fts_segment_lengths", "SELECT doc_id // 1024 AS segment_id, count(*) AS n_docs, count(*) >= 1024 AS full_segment FROM documents GROUP BY 1")
+# FTS-11, SET-01: what each segment of the text index holds.
+@query("fts_segment_lengths", f"SELECT doc_id // 1024 AS segment_id, count(*) AS n_docs, sum(len(t))::BIGINT AS n_terms, count(*) >= 1024 AS full_segment FROM (SELECT doc_id, {TOKENS} AS t FROM documents) GROUP BY 1")
 def fts_segment_lengths(spark, sf_dir):
     d = table(spark, sf_dir, "documents").select(F.floor(F.col("doc_id") / 1024).alias("segment_id"), T.token_count(F.col("text")).alias("n"))
-    return d.groupBy("segment_id").agg(F.count("*").alias("n_docs"), (F.count("*") >= 1024).alias("full_segment"))
+    return d.groupBy("segment_id").agg(F.count("*").alias("n_docs"), F.sum("n").alias("n_terms"), (F.count("*") >= 1024).alias("full_segment"))
 
 
 # VEC-13: what a graph search expands; held against the number of rows in the tests.
@@ -301,4 +305,4 @@ def fts_segment_lengths(spark, sf_dir):
 def vec_graph_stats(spark, sf_dir):
     from ..operators import ann
 
-    return ann.graph_stats(vecs(spark, sf_dir), query_vector(spark, sf_dir))
+    return ann.graph_stats(written(ann.graph_index(vecs(spark, sf_dir))), query_vector(spark, sf_dir))

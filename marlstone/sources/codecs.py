@@ -88,6 +88,11 @@ def decode_postings(data: bytes | None) -> list[tuple[int, list[int]]]:
 
 def read_fvecs(spark: SparkSession, path: str, whole_numbers: bool = False) -> DataFrame:
     """(path, row, v) of .fvecs files (.ivecs with ``whole_numbers``): each row is its dimension as 32 bits and as many 32-bit values (SRC-12)."""
+    return decoded_fvecs(spark.read.format("binaryFile").load(path), whole_numbers)
+
+
+def decoded_fvecs(files: DataFrame, whole_numbers: bool = False) -> DataFrame:
+    """(path, row, v) of the contents of such files."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in frames:
@@ -101,4 +106,46 @@ def read_fvecs(spark: SparkSession, path: str, whole_numbers: bool = False) -> D
                     part = rows[i : i + 4096].astype(float)
                     yield pd.DataFrame({"path": p, "row": np.arange(i, i + len(part)), "v": list(part)})
 
-    return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(run, "path string, row long, v array<double>")
+    return files.select("path", "content").mapInPandas(run, "path string, row long, v array<double>")
+
+
+def vector_files(vecs: DataFrame, path: Column, order: str, with_ids: bool, vec_col: str = "embedding", rows_per_file: int = 4096) -> DataFrame:
+    """(path, content): files of up to ``rows_per_file`` places of a whole-number column each. Segment files (``with_ids``, SRC-13) hold an id of 8 bytes and the 32-bit
+    components a row; without, each row begins with its dimension as in .fvecs files (SRC-12). All vectors of a file have one dimension."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("place", kind="stable")
+        parts = []
+        for i, v in zip(pdf["place"], pdf["v"], strict=True):
+            parts += [int(i).to_bytes(8, "little", signed=True) if with_ids else len(v).to_bytes(4, "little"), np.asarray(v, "<f4").tobytes()]
+        return pd.DataFrame({"path": [pdf["path"].iloc[0]], "content": [b"".join(parts)]})
+
+    rows = vecs.where(F.col(vec_col).isNotNull()).withColumn("path", F.concat_ws("-", path, F.size(vec_col).cast("string"), F.floor(F.col(order) / rows_per_file).cast("string")))
+    return rows.select("path", F.col(order).cast("long").alias("place"), F.col(vec_col).alias("v")).groupBy("path").applyInPandas(run, "path string, content binary")
+
+
+def decoded_segments(files: DataFrame, dim: int) -> DataFrame:
+    """(path, vec_id, embedding) of segment files of one dimension (SRC-13)."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        kind = np.dtype([("id", "<i8"), ("v", "<f4", (dim,))])
+        for pdf in frames:
+            for p, content in zip(pdf["path"], pdf["content"], strict=True):
+                rows = np.frombuffer(content, kind)
+                yield pd.DataFrame({"path": p, "vec_id": rows["id"], "embedding": list(rows["v"])})
+
+    return files.select("path", "content").mapInPandas(run, "path string, vec_id long, embedding array<float>")
+
+
+def coded_postings(postings: DataFrame, term: str = "term", doc: str = "doc_id", positions: str = "positions", docs_per_block: int = 65_536) -> DataFrame:
+    """(term, block, code): postings as variable-length differences, in blocks of documents so a common term has no row without bound (SRC-15)."""
+    block = F.floor(F.col(doc) / docs_per_block).alias("block")
+    rows = postings.groupBy(term, block).agg(F.array_sort(F.collect_list(F.struct(F.col(doc).alias("d"), F.col(positions).alias("p")))).alias("l"))
+    code = F.pandas_udf(lambda s: s.map(lambda l: encode_postings([(x["d"], x["p"]) for x in l])), "binary")  # noqa: E741
+    return rows.select(term, "block", code("l").alias("code"))
+
+
+def decoded_postings(coded: DataFrame) -> DataFrame:
+    """(term, doc_id, positions)."""
+    read = F.pandas_udf(lambda s: s.map(lambda b: [{"doc_id": d, "positions": p} for d, p in decode_postings(bytes(b))]), "array<struct<doc_id:long,positions:array<int>>>")
+    return coded.select("term", F.explode(read("code")).alias("p")).select("term", "p.doc_id", "p.positions")

@@ -4,7 +4,6 @@ Every flow ends in ``run_available``: all input there is, once, with a checkpoin
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -13,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..operators import events, sequential
+from ..sources.tables import shared_folder
 
 
 def read(spark: SparkSession, path: str, like: DataFrame, files_per_batch: int | None = None) -> DataFrame:
@@ -23,16 +23,10 @@ def read(spark: SparkSession, path: str, like: DataFrame, files_per_batch: int |
     return reader.parquet(path)
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """A new folder under spark.checkpoint.dir, or under the warehouse where that is unset."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
-    return f"{base.rstrip('/')}/marlstone-stream-{uuid.uuid4().hex}"
-
-
 def run_available(stream: DataFrame, mode: str = "append", each: Callable[[DataFrame, int], None] | None = None) -> str:
     """Run the stream over what is there; returns the folder of the rows. With ``each``, batches go to it instead."""
     spark = stream.sparkSession
-    folder = shared_folder(spark)
+    folder = shared_folder(spark, "stream")
     writer = stream.writeStream.option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True)
     if each is not None:
         query = writer.foreachBatch(each).outputMode(mode).start()
