@@ -2,5 +2,5 @@
 
 from __future__ import annotations
 
-from .plans import extra, hosting, lake, rules, search  # noqa: F401  they register their queries
+from .plans import extra, hosting, lake, rules, search, wider  # noqa: F401  they register their queries
 from .plans.registry import QUERIES, SQL  # noqa: F401

@@ -109,8 +109,24 @@ def moved(objects: DataFrame, source: str, target: str) -> DataFrame:
     return objects.withColumn("tier", F.when(F.col("tier") == source, F.lit(target)).otherwise(F.col("tier")))
 
 
-def content_checksum(rows: DataFrame, by: Sequence[str], value: Column, order: Sequence[str]) -> DataFrame:
-    """A checksum of each group's rows in order (AGG-21): SHA-256 of the rows' own hashes, so a group holds 64 characters a row."""
-    one = F.struct(*order, F.sha2(value, 256).alias("h"))
-    joined = F.concat_ws("", F.transform(F.sort_array(F.collect_list(one)), lambda x: x["h"]))
-    return rows.groupBy(*by).agg(F.sha2(joined, 256).alias("checksum"), F.count("*").alias("n"))
+def expired(rows: DataFrame, created: str, ttl: str, as_of: Column) -> DataFrame:
+    """The rows whose time to live, an interval, is over, with ``expires_at`` (SRC-07, SRC-08, STR-19, FLT-20). The bound is put to the column itself, so it reaches the scan."""
+    due = rows.where(F.col(created) <= as_of - F.expr(ttl))
+    return due.withColumn("expires_at", F.col(created) + F.expr(ttl))
+
+
+def content_checksum(rows: DataFrame, by: Sequence[str], value: Column, order: str, span: int = 1000) -> DataFrame:
+    """A checksum of each group's rows in the order of a whole number (AGG-21): SHA-256 of the rows' hashes over spans of ``span`` of it, of those over spans of spans, and
+    of the rest, so no group holds the hashes of all its rows."""
+    joined = lambda c: F.concat_ws("", F.transform(F.sort_array(F.collect_list(F.struct(c, "h"))), lambda x: x["h"]))
+    level = rows.select(*by, F.col(order).alias("__o"), F.sha2(value, 256).alias("h"), F.lit(1).cast("long").alias("n"))
+    for _ in range(2):
+        level = level.groupBy(*by, F.floor(F.col("__o") / span).alias("__s")).agg(F.sha2(joined("__o"), 256).alias("h"), F.sum("n").alias("n")).withColumnRenamed("__s", "__o")
+    return level.groupBy(*by).agg(F.sha2(joined("__o"), 256).alias("checksum"), F.sum("n").alias("n"))
+
+
+def evicted(rows: DataFrame, seq: str, most: int = 100_000) -> tuple[DataFrame, DataFrame]:
+    """(kept, gone): the ``most`` rows that came last, and the others, first in first out (WIN-09). The bound between them is one number."""
+    bound = rows.select(F.col(seq).alias("__s")).orderBy(F.desc("__s")).limit(most).agg(F.min("__s").alias("__bound"))
+    both = rows.join(F.broadcast(bound))
+    return both.where(F.col(seq) >= F.col("__bound")).drop("__bound"), both.where(F.col(seq) < F.col("__bound")).drop("__bound")

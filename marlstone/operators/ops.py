@@ -3,19 +3,29 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def percentile_lower(rows: DataFrame, by: Sequence[str], value: str, percents: Sequence[int]) -> DataFrame:
-    """(by, n, p50, ...): the sorted sample's element floor((n - 1) * p / 100) (AGG-14). Equal values are counted before the
-    shuffle and running counts replace the sorted list, so no group is ever held in memory."""
+def percentile_lower(rows: DataFrame, by: Sequence[str], value: str, percents: Sequence[int], cells: int = 4096) -> DataFrame:
+    """(by, n, p50, ...): the sorted sample's element floor((n - 1) * p / 100) (AGG-14). Equal values are counted before the shuffle; the counts are added up by
+    ``cells`` equal steps of each group's range, and only values in the steps that hold a percentile are put in order, so no group's values go to one task."""
     counts = rows.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count("*").alias("c"))
-    w = Window.partitionBy(*by)
-    counts = counts.withColumn("upto", F.sum("c").over(w.orderBy(value))).withColumn("n", F.sum("c").over(w))
-    pick = [F.min(F.when(F.col("upto") > F.floor((F.col("n") - 1) * p / 100), F.col(value))).alias(f"p{p}") for p in percents]
-    return counts.groupBy(*by).agg(F.first("n").alias("n"), *pick)
+    ends = counts.groupBy(*by).agg(F.min(value).alias("__lo"), F.max(value).alias("__hi"), F.sum("c").alias("n"))
+    step = F.floor((F.col(value) - F.col("__lo")) / (F.col("__hi") - F.col("__lo")) * (cells - 1)).cast("long")
+    placed = counts.join(ends, list(by)).withColumn("__cell", F.coalesce(F.when(F.col("__hi") > F.col("__lo"), step), F.lit(0)))
+    sums = placed.groupBy(*by, "__cell").agg(F.sum("c").alias("__in"), F.first("n").alias("n"))
+    before = Window.partitionBy(*by).orderBy("__cell").rowsBetween(Window.unboundedPreceding, -1)
+    sums = sums.withColumn("__before", F.coalesce(F.sum("__in").over(before), F.lit(0)))
+    target = lambda p: F.floor((F.col("n") - 1) * p / 100)
+    held = reduce(or_, [(F.col("__before") <= target(p)) & (target(p) < F.col("__before") + F.col("__in")) for p in percents])
+    inside = placed.join(sums.where(held).select(*by, "__cell", "__before"), [*by, "__cell"])
+    upto = F.col("__before") + F.sum("c").over(Window.partitionBy(*by, "__cell").orderBy(value))
+    pick = [F.min(F.when(F.col("__upto") > target(p), F.col(value))).alias(f"p{p}") for p in percents]
+    return inside.withColumn("__upto", upto).groupBy(*by).agg(F.first("n").alias("n"), *pick)
 
 
 def histogram(rows: DataFrame, by: Sequence[str], value: str, bounds: Sequence[float]) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import predicates as P
 
+# The names of the condition operators.
 OPERATORS = (
     "StringEquals", "StringNotEquals", "StringLike", "StringNotLike", "NumericEquals", "NumericNotEquals", "NumericLessThan", "NumericGreaterThan",
     "DateLessThan", "DateGreaterThan", "IpAddress", "NotIpAddress", "Bool", "ArnEquals", "ArnLike", "Null",
@@ -25,8 +26,8 @@ def _date(a: Column, b: Column, test) -> Column:
     return F.when(x.isNotNull() & y.isNotNull(), test(x, y)).otherwise(test(a, b))
 
 
-def _arn(pattern: Column, arn: Column) -> Column:
-    """SCL-18."""
+def name_match(pattern: Column, arn: Column) -> Column:
+    """Equal, or matched as a pattern, or without wildcards equal but for case (SCL-18)."""
     return (pattern == arn) | F.when(pattern.contains("*") | pattern.contains("?"), P.glob_match(arn, pattern)).otherwise(F.lower(pattern) == F.lower(arn))
 
 
@@ -48,8 +49,8 @@ def one_condition(operator: Column, actual: Column, expected: Column) -> Column:
         "IpAddress": ip,
         "NotIpAddress": ~ip,
         "Bool": F.lower(actual) == F.lower(expected),
-        "ArnEquals": _arn(expected, actual),
-        "ArnLike": _arn(expected, actual),
+        "ArnEquals": name_match(expected, actual),
+        "ArnLike": name_match(expected, actual),
         "Null": F.when(F.lower(expected) == "true", actual == "").otherwise(actual != ""),
     }
     out = actual == expected

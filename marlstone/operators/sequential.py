@@ -6,32 +6,42 @@ forms in ``streaming`` use the same machines."""
 
 from __future__ import annotations
 
+from collections import namedtuple
 from collections.abc import Callable, Iterator, Sequence
 from typing import Any
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
+
+
+def _same(a: tuple, b: tuple) -> bool:
+    """Keys as grouping compares them: a null is a null's like, NaN is NaN's."""
+    return all(x == y or (x != x and y != y) for x, y in zip(a, b, strict=True))
 
 
 def fold(rows: DataFrame, keys: Sequence[str], order: Sequence[str], machine: Callable[[], Callable[[Any], Any]], out: str, kind: str) -> DataFrame:
-    """The rows with a column ``out`` of type ``kind``: what the key's machine, a fresh one per key, returns for each row in order."""
+    """The rows with a column ``out`` of type ``kind``: what the key's machine, a fresh one per key, returns for each row in order. Rows come as tuples of
+    Python values, a null as None; rows whose key is null are one key's."""
     n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     schema = T.StructType([*rows.schema.fields, *T._parse_datatype_string(f"{out} {kind}").fields])
-    names = rows.columns
+    names, at = rows.columns, [rows.columns.index(k) for k in keys]
+    arrow = to_arrow_type(schema[-1].dataType)
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        row_type = namedtuple("Row", names, rename=True)
         key, step = None, None
-        for pdf in frames:
+        for b in batches:
             got = []
-            for row in pdf.itertuples(index=False, name="Row"):
-                own = tuple(getattr(row, k) for k in keys)
-                if step is None or own != key:
+            for row in map(row_type._make, zip(*[c.to_pylist() for c in b.columns], strict=True)):
+                own = tuple(row[i] for i in at)
+                if step is None or not _same(own, key):
                     key, step = own, machine()
                 got.append(step(row))
-            yield pdf.assign(**{out: got})[[*names, out]]
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(got, arrow)], [*names, out])
 
-    return rows.repartition(n, *keys).sortWithinPartitions(*keys, *order).mapInPandas(run, schema)
+    return rows.repartition(n, *keys).sortWithinPartitions(*keys, *order).mapInArrow(run, schema)
 
 
 class SlidingWindow:

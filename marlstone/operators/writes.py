@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import catalog
@@ -21,10 +21,11 @@ def put_objects(versions: DataFrame, new: DataFrame, quotas: DataFrame) -> tuple
 
 def create_buckets(buckets: DataFrame, names: DataFrame) -> DataFrame:
     """(bucket, status): created, or exists for a name that is there or comes twice (SNK-03)."""
-    first = names.withColumn("n", F.row_number().over(Window.partitionBy("bucket").orderBy("request")))
+    first = names.groupBy("bucket").agg(F.min("request").alias("first"))
     there = buckets.select("bucket").distinct().withColumn("there", F.lit(True))
-    status = F.when(F.coalesce("there", F.lit(False)) | (F.col("n") > 1), "exists").otherwise("created")
-    return first.join(there, "bucket", "left").select("request", "bucket", status.alias("status"))
+    first = first.join(there, "bucket", "left")
+    status = F.when(F.coalesce("there", F.lit(False)) | (F.col("request") > F.col("first")), "exists").otherwise("created")
+    return names.join(first, "bucket").select("request", "bucket", status.alias("status"))
 
 
 def queue_states(attempts: DataFrame, most: int, base_ms: int, cap_ms: int) -> DataFrame:

@@ -157,5 +157,5 @@ def test_image_facts(spark):
 
 
 def test_graph_stats_count_rows(vectors):
-    got = ann.graph_stats(vectors, [0.0, 1.0], 3, shard_rows=8).collect()
+    got = ann.graph_stats(ann.graph_index(vectors, 8), [0.0, 1.0], 3).collect()
     assert sum(r.n_rows for r in got) == 20 and all(0 < r.n_expanded <= r.n_rows for r in got)

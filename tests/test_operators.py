@@ -43,10 +43,85 @@ def test_stemmed_search_equals_a_loop(spark):
             if tf := w.count(s):
                 score[d] = score.get(d, 0) + math.log((n - df + 0.5) / (df + 0.5) + 1) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len(w) / avg))
     want = sorted(((-round(x, 6), d) for d, x in score.items()))[:20]
-    got = fts.search_stemmed(spark.read.parquet(f"{SF}/documents.parquet"), query).collect()
+    got = fts.search(spark.read.parquet(f"{SF}/documents.parquet"), query).collect()
     assert [(r.doc_id, r.score) for r in got] == [(d, pytest.approx(-x, abs=2e-6)) for x, d in want]
 
 
+def test_all_forms_of_a_word_match(spark):
+    docs = spark.createDataFrame([(1, "Running runs"), (2, "he ran, then run."), (3, "runner"), (4, None), (5, "")], "doc_id long, text string")
+    assert [r.doc_id for r in fts.search(docs, "running").collect()] == [1, 2]
+    assert {r.term: r.df for r in fts.document_frequencies(docs).collect()}["run"] == 2
+    asked = spark.createDataFrame([(7, "the runs"), (8, "nothing here"), (9, None), (10, "runner ran")], "query_id long, query string")
+    many = {(r.query_id, r["rank"]): r.doc_id for r in fts.search_many(docs, asked).collect()}
+    assert many == {(7, 1): 1, (7, 2): 2, (10, 1): 3, (10, 2): 2}
+    long = spark.createDataFrame([(1, "x" * 80 + " Licensed under it " + "y" * 80)], "doc_id long, text string")
+    assert "Licens" in fts.snippets(long, "licenses", size=40).first().snippet
+    assert fts.search_many(docs, asked.where("query_id = 0")).count() == 0
+
+
+def test_batch_search_equals_single_searches(spark, monkeypatch):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    asked = spark.read.parquet(f"{SF}/benchmark.parquet").limit(5)
+    monkeypatch.setattr(fts, "QUERY_BLOCK", 2)
+    many = {}
+    for r in fts.search_many(docs, asked, 10, query_id="item_id", query_text="text").collect():
+        many.setdefault(r.item_id, {})[r["rank"]] = (r.doc_id, r.score)
+    for q in asked.collect():
+        one = [(r.doc_id, r.score) for r in fts.search(docs, q.text, 10).collect()]
+        assert [d for d, _ in one] == [many[q.item_id][i][0] for i in range(1, len(one) + 1)]
+        assert all(abs(s - many[q.item_id][i][1]) < 2e-6 for i, (_, s) in enumerate(one, 1))
+
+
+def test_nearest_with_nulls_ties_and_dimensions(spark):
+    rows = [(1, [None, 1.0]), (2, [0.6, 0.8]), (3, None), (4, [0.6, 0.8, 0.0]), (0, [0.6, 0.8 + 1e-7]), (5, [0.0, 0.0]), (6, [0.6, 0.8]), (7, [float("nan"), 1.0])]
+    v = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    for metric in ("cosine", "l2"):
+        # An equal vector comes before one that is nearer than a rounding, whatever the ids.
+        assert [r.vec_id for r in knn.nearest(v, [0.6, 0.8], 3, metric).collect()] == [2, 6, 0]
+        assert {r.vec_id for r in knn.nearest(v, [0.6, 0.8], 10, metric).collect()} == {0, 2, 5, 6, 7}
+        asked = spark.createDataFrame([(9, [0.6, 0.8]), (10, [0.6, 0.8, 0.0]), (11, None), (12, [None, 1.0]), (13, [1.0] * 4)], "query_id long, query array<double>")
+        got = {(r.query_id, r["rank"]): r.vec_id for r in knn.nearest_many(v, asked, 3, metric).collect()}
+        assert got == {(9, 1): 2, (9, 2): 6, (9, 3): 0, (10, 1): 4}
+    with pytest.raises(ValueError):
+        knn.nearest(v, [None, 1.0])
+
+
+def test_equal_vectors_keep_the_order_of_their_ids(spark):
+    rng = np.random.default_rng(5)
+    base = rng.normal(size=(40, 24)).tolist()
+    v = spark.createDataFrame([(i, base[i % 40]) for i in range(600)], "vec_id long, embedding array<double>").repartition(3)
+    asked = spark.createDataFrame([(i, rng.normal(size=24).tolist()) for i in range(6)], "query_id long, query array<double>")
+    for metric in ("cosine", "l2", "dot"):
+        got = {}
+        for r in knn.nearest_many(v, asked, 20, metric).collect():
+            got.setdefault(r.query_id, {})[r["rank"]] = r.vec_id
+        for q in asked.collect():
+            one = [r.vec_id for r in knn.nearest(v, q["query"], 20, metric).collect()]
+            assert [got[q.query_id][i] for i in range(1, 21)] == one
+            assert all(b - a == 40 for a, b in zip(one[:14], one[1:15], strict=True))
+
+
+def test_a_written_graph_is_searched(spark, tmp_path):
+    v = spark.read.parquet(f"{SF}/embeddings.parquet")
+    ann.graph_index(v, 64).write.parquet(f"file://{tmp_path}/graph")
+    index = spark.read.parquet(f"file://{tmp_path}/graph")
+    for q in v.orderBy("vec_id").limit(5).collect():
+        true = {r.vec_id for r in knn.nearest(v, q.embedding, 10, "l2").collect()}
+        assert len(true & {r.vec_id for r in ann.graph_search(index, q.embedding).collect()}) >= 8
+    assert sum(r.n_rows for r in ann.graph_stats(index, q.embedding).collect()) == v.count()
+    odd = spark.createDataFrame([(1, None), (2, [1.0, None]), (3, [1.0, 2.0])], "vec_id long, embedding array<double>")
+    assert [r.vec_id for r in ann.graph_search(ann.graph_index(odd), [1.0, 2.0]).collect()] == [3]
+
+
+def test_percentiles_of_skewed_values(spark):
+    rng = random.Random(3)
+    values = [(g, x) for g, xs in (("a", [rng.gauss(0, 1) for _ in range(500)] + [1e12]), ("b", [5.0] * 300 + [7.0]), ("c", [2.0]), ("d", [1.0, None])) for x in xs]
+    df = spark.createDataFrame(values, "g string, x double")
+    for r in ops.percentile_lower(df, ["g"], "x", [0, 50, 99, 100], cells=7).collect():
+        xs = sorted(x for g, x in values if g == r.g and x is not None)
+        assert (r.n, r.p0, r.p50, r.p99, r.p100) == (len(xs), *(xs[(len(xs) - 1) * p // 100] for p in (0, 50, 99, 100)))
+
+
 def test_hybrid(spark):
     text = spark.createDataFrame([("doc1", 0)], "doc_id string, text_rank int")
     vec = spark.createDataFrame([("doc1", 0), ("doc2", 1)], "doc_id string, vector_rank int")
@@ -209,6 +284,40 @@ def test_machines():
     assert [s.apply("get"), s.apply("cas", "x", 0), s.apply("cas", "y", 0), s.apply("put", "z"), s.apply("delete"), s.apply("delete"), s.apply("cas", "w", 0)] == [("not_found", 0), ("ok", 1), ("conflict", 1), ("ok", 2), ("ok", 3), ("not_found", 0), ("ok", 4)]
 
 
+def test_fold_takes_nulls_as_one_key_and_whole_numbers_whole(spark):
+    rows = [(None, i, 9007199254740993 + i, None if i % 2 else i) for i in range(6)] + [(float("nan"), i, i, i) for i in range(4)] + [(1.0, 0, 1, None)]
+    df = spark.createDataFrame(rows, "k double, at_ms long, id long, x long").repartition(3)
+
+    def machine():
+        seen = []
+        return lambda r: seen.append(r.x) or f"{len(seen)}:{r.x}"
+
+    got = sequential.fold(df, ["k"], ["at_ms"], machine, "out", "string").collect()
+    assert sorted((r.id, r.out) for r in got if r.k is None) == [(9007199254740993 + i, f"{i + 1}:{None if i % 2 else i}") for i in range(6)]
+    assert sorted(r.out for r in got if r.k is not None and r.k != r.k) == ["1:0", "2:1", "3:2", "4:3"]
+
+
+def test_multi_level_limits_equal_a_loop(spark):
+    from marlstone.plans import wider
+
+    rows = spark.read.parquet(f"{SF}/events.parquet").selectExpr("event_id", "user_id", "event_type", "user_id % 4 AS site", "unix_millis(CAST(ts AS TIMESTAMP)) AS at_ms").collect()
+    want = {}
+    for site in range(4):
+        last: dict = {}
+
+        def allow(key, limit, at):
+            now = at // 60_000
+            calls = [b for b in last.get(key, []) if b > now - 360]
+            ok = len(calls) < limit
+            last[key] = [*calls, now] if ok else calls
+            return ok
+
+        for r in sorted((r for r in rows if r.site == site), key=lambda r: (r.at_ms, r.event_id)):
+            levels = [("site", "", 400), ("user", r.user_id, 3), ("api", r.event_type, 120)]
+            want[r.event_id] = "allowed" if r.user_id == 0 else next((n for n, k, limit in levels if not allow((n, k), limit, r.at_ms)), "allowed")
+    assert {r.event_id: r.level for r in wider.lim_multi_level(spark, SF).collect()} == want
+
+
 def test_fold_keeps_order_and_state_over_batches(spark):
     rng = random.Random(5)
     rows = [(rng.randrange(6), i, rng.randrange(10**6)) for i in range(500)]
