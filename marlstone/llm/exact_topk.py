@@ -9,8 +9,9 @@ a block of up to ``BLOCK`` rows is a run of annuli of one pivot. (Range sorting
 vector that a third of all rows repeat.) Pivots come from a bounded sample of ``PIVOT_SAMPLE`` rows; every row is indexed.
 
 Search: a query begins in the block where its own key lies, which gives it a first k-th distance t. Since
-|d(q, p) - d(c, p)| <= d(q, c), only blocks whose distances to their pivot come within t of d(q, p) can hold more; the
-pairs of queries and such blocks are an equi-join on the pivot with that range. Within a block, annuli are
+|d(q, p) - d(c, p)| <= d(q, c), only blocks whose distances to their pivot come within t of d(q, p) can hold more. The blocks' ranges are looked up in order
+of their distances, from a broadcast of up to ``RINGS`` of them and beyond that by an equi-join on the pivot; there are about as many pivots as the root of
+the number of rows. A query's vector goes to the blocks in its reach only, and a block goes to one task, through which its queries stream. Within a block, annuli are
 expanded outwards from the query's own distance and stop at the same bound, with t shrinking as
 results come. Scores are inner products of whole numbers, so they are exact (in Python's integers where doubles
 could round; a score beyond a long is given as the nearest long), and bounds have a small slack against rounding.
@@ -36,7 +37,9 @@ from . import common, vectors
 
 SCALE, TOP = 256, 5
 BLOCK, ANNULUS = 2048, 256
-PIVOTS, PIVOT_SAMPLE = 24, 2048
+LEAST_PIVOTS, PIVOTS, PIVOT_SAMPLE = 24, 256, 2048
+#: Blocks whose ranges (24 bytes each) are broadcast.
+RINGS = 1_000_000
 SLACK = 1e-6
 
 _FOUND = "qkey long, ckey long, query_id long, vec_id long, score long"
@@ -46,14 +49,14 @@ def quantized(a: np.ndarray) -> np.ndarray:
     return np.floor(SCALE * a)
 
 
-def _pivots(sample: list[tuple[int, bytes]], big: float) -> dict[int, np.ndarray]:
-    """Up to PIVOTS vectors per dimension (with the added coordinate), each next one the farthest from those before."""
+def _pivots(sample: list[tuple[int, bytes]], big: float, most: int) -> dict[int, np.ndarray]:
+    """Up to ``most`` vectors per dimension (with the added coordinate), each next one the farthest from those before."""
     out = {}
     for dim in sorted({d for d, _ in sample}):
         x = vectors.matrix([v for d, v in sample if d == dim], dim) if dim else np.zeros((1, 0))
         x = np.column_stack([x, np.sqrt(np.maximum(big - (x * x).sum(axis=1), 0))])
         chosen, far = [0], ((x - x[0]) ** 2).sum(axis=1)
-        while len(chosen) < min(PIVOTS, len(x)) and far.max() > 0:
+        while len(chosen) < min(most, len(x)) and far.max() > 0:
             chosen.append(int(far.argmax()))
             far = np.minimum(far, ((x - x[chosen[-1]]) ** 2).sum(axis=1))
         out[dim] = x[chosen]
@@ -174,8 +177,9 @@ def _build(big: float, k: int):
     return run
 
 
-def _reach_batches(pivots, big: float):
-    """Queries to one row for each pivot, with the distance to it."""
+def _reach_batches(pivots, rings, big: float):
+    """Queries to one row for each block in their reach, with the distance to its pivot. ``rings``: by (dim, pivot) the blocks and, in order of distance, their ranges;
+    None: to one row for each pivot, to be joined."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -184,22 +188,29 @@ def _reach_batches(pivots, big: float):
                 x = vectors.matrix(rows["vecs"], dim) if dim else np.zeros((len(rows), 0))
                 p = pivots.value.get(dim, np.zeros((1, dim + 1)))
                 d = _distances(x, np.zeros(len(x)), p)
-                n = len(p)
-                rep = lambda c: np.repeat(rows[c].to_numpy(), n)  # noqa: B023, E731
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(rep("qkey")), pa.array(rep("home")), pa.array(np.full(len(rows) * n, dim, np.int32)), pa.array(np.tile(np.arange(n, dtype=np.int32), len(rows))), pa.array(d.ravel()), pa.array(rep("t"))],
-                    ["qkey", "home", "q_dim", "q_pivot", "qd", "t"],
-                )
+                t = rows["t"].to_numpy() * (1 + SLACK) + SLACK
+                for j in range(len(p)):
+                    if rings is None:
+                        row, block = np.arange(len(rows)), np.full(len(rows), -1, np.int64)
+                    else:
+                        blocks, lo, hi = rings.value.get((int(dim), j), (np.zeros(0, np.int64), np.zeros(0), np.zeros(0)))
+                        # Both ends of a pivot's blocks ascend, so those in reach are a range.
+                        first, stop = np.searchsorted(hi, d[:, j] - t, side="left"), np.searchsorted(lo, d[:, j] + t, side="right")
+                        n = np.maximum(stop - first, 0)
+                        row = np.repeat(np.arange(len(rows)), n)
+                        block = blocks[np.repeat(first - (np.cumsum(n) - n), n) + np.arange(len(row))]
+                    if len(row):
+                        took = lambda c: pa.array(rows[c].to_numpy()[row])  # noqa: B023, E731
+                        yield pa.RecordBatch.from_arrays(
+                            [took("qkey"), took("query_id"), took("home"), pa.array(np.full(len(row), dim, np.int32)), pa.array(np.full(len(row), j, np.int32)), pa.array(d[row, j]), took("t"), took("vecs"), pa.array(block)],
+                            ["qkey", "query_id", "home", "q_dim", "q_pivot", "qd", "t", "vecs", "at"],
+                        )
 
     return run
 
 
 def _expand(big: float, k: int):
-    def run(blocks: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
-        cols = ["qkey", "ckey", "query_id", "vec_id", "score"]
-        if not len(blocks) or not len(asked):
-            return pd.DataFrame({c: pd.Series([], dtype="int64") for c in cols})
-        b = blocks.iloc[0]
+    def run(b: pd.Series, asked: pd.DataFrame) -> pd.DataFrame:
         dim = int(b["dim"])
         block = _Block(dim, np.frombuffer(b["dists"], "<f8"), np.frombuffer(b["ids"], "<i8"), np.frombuffer(b["rkeys"], "<i8"), vectors.matrix([b["vecs"]], dim) if dim else np.zeros((len(b["ids"]) // 8, 0)))
         q = vectors.matrix(asked["vecs"], dim) if dim else np.zeros((len(asked), 0))
@@ -211,14 +222,24 @@ def _expand(big: float, k: int):
     return run
 
 
-def exact_top_k(vecs: DataFrame, asked: Column, k: int = TOP, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
+def _ranges(rings: DataFrame, most: int):
+    """A broadcast of the blocks' ranges by (dim, pivot), or None if there are more than ``most``."""
+    got = rings.limit(most + 1).toArrow()
+    if got.num_rows > most:
+        return None
+    pdf = got.to_pandas().sort_values(["dim", "pivot", "lo", "hi"])
+    table_ = {(int(d), int(p)): (g["block"].to_numpy(), g["lo"].to_numpy(), np.maximum.accumulate(g["hi"].to_numpy())) for (d, p), g in pdf.groupby(["dim", "pivot"])}
+    return rings.sparkSession.sparkContext.broadcast(table_)
+
+
+def exact_top_k(vecs: DataFrame, asked: Column, k: int = TOP, id_col: str = "vec_id", vec_col: str = "embedding", rings_most: int = RINGS) -> DataFrame:
     """(query_id, rank, vec_id, score): for each row where ``asked`` holds the k other rows of highest integer inner product."""
     spark = vecs.sparkSession
     rows = vectors.valid_vectors(vecs, asked, id_col, vec_col, quantized)
-    squares = rows.mapInArrow(_square_batches, "square double").agg(F.max("square")).first()[0]
-    big = float(squares or 0.0)
+    counted = rows.mapInArrow(_square_batches, "square double").agg(F.max("square").alias("most"), F.count("*").alias("n")).first()
+    big, most = float(counted["most"] or 0.0), max(LEAST_PIVOTS, min(PIVOTS, int(counted["n"] ** 0.5)))
     sample = rows.orderBy(F.xxhash64("rkey"), "rkey").limit(PIVOT_SAMPLE).select("dim", "vec").collect()
-    pivots = spark.sparkContext.broadcast(_pivots([(r["dim"], bytes(r["vec"])) for r in sample], big))
+    pivots = spark.sparkContext.broadcast(_pivots([(r["dim"], bytes(r["vec"])) for r in sample], big, most))
     keyed = rows.mapInArrow(_key_batches(pivots, big), "vec_id long, asked boolean, dim int, vec binary, rkey long, pivot int, dist double, qdist double")
     n = common.partitions(spark)
     index = keyed.repartitionByRange(n, "dim", "pivot", "dist", "vec_id", "rkey").sortWithinPartitions("dim", "pivot", "dist", "vec_id", "rkey")
@@ -226,16 +247,15 @@ def exact_top_k(vecs: DataFrame, asked: Column, k: int = TOP, id_col: str = "vec
     blocks = built.where("kind = 0")
     queries = built.where("kind = 1").select("qkey", "query_id", F.col("block").alias("home"), "dim", "vecs", "t")
     at_home = built.where("kind = 2").select("qkey", "ckey", "query_id", "vec_id", "score")
-    reach = queries.mapInArrow(_reach_batches(pivots, big), "qkey long, home long, q_dim int, q_pivot int, qd double, t double")
     rings = blocks.select("block", "dim", "pivot", "lo", "hi")
-    near = (F.col("dim") == F.col("q_dim")) & (F.col("pivot") == F.col("q_pivot")) & (F.col("block") != F.col("home"))
-    in_reach = F.greatest(F.col("lo") - F.col("qd"), F.col("qd") - F.col("hi")) <= F.col("t") * (1 + SLACK) + SLACK
-    pairs = reach.join(rings, near & in_reach).select(F.col("qkey").alias("p_qkey"), F.col("block").alias("p_block"), "qd")
-    # A block that many queries reach is dealt to several tasks.
-    salts = max(1, -(-queries.count() // vectors.QUERY_ROWS))
-    asked_rows = pairs.join(queries.select("qkey", "query_id", "vecs", "t"), F.col("p_qkey") == F.col("qkey")).select("p_block", F.pmod(F.xxhash64("qkey"), F.lit(salts)).cast("int").alias("salt"), "qkey", "query_id", "vecs", "t", "qd")
-    dealt = blocks.select("block", "dim", "ids", "rkeys", "dists", "vecs", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt"))
-    found = dealt.groupBy("block", "salt").cogroup(asked_rows.groupBy("p_block", "salt")).applyInPandas(_expand(big, k), _FOUND)
+    ranges = _ranges(rings, rings_most)
+    reach = queries.mapInArrow(_reach_batches(pivots, ranges, big), "qkey long, query_id long, home long, q_dim int, q_pivot int, qd double, t double, vecs binary, at long")
+    if ranges is None:
+        near = (F.col("dim") == F.col("q_dim")) & (F.col("pivot") == F.col("q_pivot"))
+        in_reach = F.greatest(F.col("lo") - F.col("qd"), F.col("qd") - F.col("hi")) <= F.col("t") * (1 + SLACK) + SLACK
+        reach = reach.drop("at").join(rings.withColumnRenamed("block", "at"), near & in_reach)
+    there = reach.where(F.col("at") != F.col("home")).select(F.col("at").alias("block"), "qkey", "query_id", "vecs", "t", "qd")
+    found = vectors.met(blocks.select("block", "dim", "ids", "rkeys", "dists", "vecs"), there, "block", _expand(big, k), _FOUND)
     return vectors.best(at_home.unionByName(found), k, [F.col("score").desc()])
 
 

@@ -2,16 +2,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import common
 
-#: Queries that one task holds at a time; more of them go to the same block in further tasks.
+#: Queries that meet a block together.
 QUERY_ROWS = 4096
 
 
@@ -53,6 +54,38 @@ def matrix(blobs, dim: int) -> np.ndarray:
     return np.frombuffer(b"".join(blobs), "<f8").reshape(-1, dim)
 
 
+def met(blocks: DataFrame, asked: DataFrame, key: str, work: Callable[[pd.Series, pd.DataFrame], pd.DataFrame | None], schema: str) -> DataFrame:
+    """``work(block, queries)`` for each block (one row for each ``key``) and the queries with its key, QUERY_ROWS of them at most at a time. Rows are dealt by key and sorted so that
+    the block comes first: it is sent once, however many queries meet it, and a task holds one block and streams them."""
+    own, theirs = [c for c in blocks.columns if c != key], [c for c in asked.columns if c != key]
+    left = blocks.select(key, F.lit(0).alias("kind"), F.struct(*own).alias("b"))
+    right = asked.select(key, F.lit(1).alias("kind"), F.struct(*theirs).alias("q"))
+    both = left.unionByName(right, allowMissingColumns=True).repartition(common.partitions(blocks.sparkSession), key).sortWithinPartitions(key, "kind")
+    names = [c.split()[0] for c in schema.split(", ")]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, block = None, None
+        for b in batches:
+            keys, kinds = b.column(key).to_pylist(), b.column("kind").to_pylist()
+            i = 0
+            while i < b.num_rows:
+                if kinds[i] == 0:
+                    at, block = keys[i], pd.Series(b.column("b")[i].as_py())
+                    i += 1
+                    continue
+                j = i
+                while j < b.num_rows and j - i < QUERY_ROWS and kinds[j] == 1 and keys[j] == keys[i]:
+                    j += 1
+                if keys[i] == at:
+                    queries = pa.RecordBatch.from_arrays(b.column("q").slice(i, j - i).flatten(), theirs).to_pandas()
+                    found = work(block, queries)
+                    if found is not None and len(found):
+                        yield pa.RecordBatch.from_pandas(found[names], preserve_index=False)
+                i = j
+
+    return both.mapInArrow(run, schema)
+
+
 def best(found: DataFrame, k: int, order: list[Column]) -> DataFrame:
     """Of (qkey, ckey, query_id, vec_id, score) the first k of each qkey, with their rank."""
     w = Window.partitionBy("qkey").orderBy(*order, "vec_id", "ckey")

@@ -90,3 +90,51 @@ def test_blocks_of_queries(spark, monkeypatch):
     df = data.vectors(spark, n=90)
     got = exact_topk.exact_top_k(df, F.col("vec_id") % 5 == 0).collect()
     assert collections.Counter((r.query_id, r["rank"], r.vec_id, -r.score) for r in got) == brute(data.vector_rows(df), lambda i: i % 5 == 0, inner, 5)
+
+
+def test_rings_beyond_the_broadcast(spark, monkeypatch):
+    monkeypatch.setattr(exact_topk, "BLOCK", 32)
+    df = data.vectors(spark, n=150)
+    got = exact_topk.exact_top_k(df, F.col("vec_id") % 50 == 0, rings_most=2).collect()
+    assert collections.Counter((r.query_id, r["rank"], r.vec_id, -r.score) for r in got) == brute(data.vector_rows(df), lambda i: i % 50 == 0, inner, 5)
+
+
+def test_a_block_is_sent_once(spark, monkeypatch):
+    monkeypatch.setattr(vectors, "QUERY_ROWS", 7)
+    blocks = spark.createDataFrame([(i, bytes([i])) for i in range(9)], "at long, data binary")
+    asked = spark.createDataFrame([(i % 9 if i % 3 else 4, i) for i in range(500)] + [(77, 1)], "at long, n long")
+
+    def work(b, q):
+        assert len(q) <= 4096
+        return q.assign(data=b["data"][0])[["n", "data"]]
+
+    got = vectors.met(blocks, asked, "at", work, "n long, data long").collect()
+    assert sorted((r.n, r.data) for r in got) == [(i, i % 9 if i % 3 else 4) for i in range(500)]
+
+
+def test_regions_hold_what_is_near():
+    rng = np.random.default_rng(4)
+    x = np.concatenate([rng.normal(size=(600, 5)), np.repeat(rng.normal(size=(1, 5)), 300, axis=0)])
+    top = vp_search.Regions(x[::2], 90_000)
+    home = top.home(x)
+    assert home.max() < top.count and top.count >= 8
+    q = x[:40] + 0.01
+    t = np.sort(vp_search.distances(q, x), axis=1)[:, 9]
+    query, region = top.reached(q, t)
+    have = set(zip(query.tolist(), region.tolist(), strict=True))
+    near = np.argwhere(vp_search.distances(q, x) <= t[:, None])
+    assert all((i, home[j]) in have for i, j in near.tolist())
+    assert len(have) < 40 * top.count
+
+
+def test_work_grows_with_the_rows(spark):
+    """Clustered vectors: a query goes to the regions near it, however many there are."""
+    rng = np.random.default_rng(8)
+    sent = []
+    for n in (2000, 8000):
+        centres = rng.normal(size=(n // 250, 8)) * 20
+        x = centres[np.arange(n) % len(centres)] + rng.normal(size=(n, 8)) * 0.1
+        top = vp_search.Regions(x[:: max(1, n // 2000)], n * vp_search.SHARD // 250)
+        t = np.sort(vp_search.distances(x[:100], x), axis=1)[:, 10]
+        sent.append(len(top.reached(x[:100], t)[0]) / 100)
+    assert sent[1] < 2 * sent[0] and sent[1] < 8
