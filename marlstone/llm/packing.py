@@ -1,19 +1,19 @@
 """Operator 2: best-fit packing into sequences of a fixed number of tokens.
 
 Documents are tokenized whole, end with id 0, and are cut only where longer than a sequence; the
-pieces are what is packed. Best fit runs in bulk-synchronous rounds, one for each length from the
-longest to the shortest. In a round, all pieces of that length meet all open gaps: a successor sweep
-over the gaps in order of size gives the pieces, by rank, the smallest gaps that hold them;
-pieces of one rank never want the same gap, since the k-th piece takes the k-th gap of the sweep;
-the gaps shrink and the next round follows. Pieces that no gap holds open new sequences.
-
-Since lengths are whole numbers up to the capacity, pieces range-sorted by (length, rank) and gaps
-sorted by size are both described by runs: "pieces r0..r1 of length L go to sequences b0..b1
-at one offset". A sweep works on those runs, whose number depends on the capacity and not on the number of
-documents, so the rounds need only the histogram of lengths (at most ``capacity`` rows). Rows
-never leave the executors: they get their rank within their length from counts of hash ranges and a
-running number within each, and look their run up in the schedule. The result is exactly that of
-sequential best-fit decreasing.
+pieces are what is packed. Best fit runs in bulk-synchronous rounds. In a round, all pieces that have no place yet and all open gaps are sorted by size, the largest first, and dealt
+to tasks by ranges of sizes. A task sweeps through its range: a gap goes on a stack, and a piece takes the gap on its top, which is the successor of its length, the smallest of those that hold
+it. Pieces of one length want the same gaps: by rank, a gap that holds q of them takes the next q (it would stay the smallest that holds one), the next gap the ones after those. Pieces that find no
+gap in their range, and gaps that no piece took, go to a second sweep over what all ranges left, which gives what one sweep over everything would. Then gaps shrink by what they took and the next
+round follows, until no piece is left. At the start as many sequences are
+opened as the tokens or the pieces of over half a sequence need at least; when a round places nothing, as many more as what is left needs.
+
+Since lengths are whole numbers up to the capacity, pieces and gaps of equal size are runs: "pieces r0..r1 of length L", "sequences b0..b1 with a gap of g". Rounds work on runs. A round makes at
+most as many runs of gaps more as there are lengths, so their number depends on the capacity and not on the number of documents; the driver keeps
+them between the rounds, and a task that is lost is run again from there. Rows never leave the executors: they get their rank within their length from counts of hash ranges and a
+running number within each, and look their run up in the rounds' matches.
+
+``schedule`` is sequential best-fit decreasing on the same runs, by which the tests judge the number of sequences.
 
 Defined results: a null or empty text is the single id 0; repeated rows are packed as often as they
 occur; an empty table gives no rows; other columns are ignored.
@@ -37,7 +37,9 @@ from . import common
 
 CAPACITY = 2048
 #: Pieces that one hash range of a length holds on average; a length that many pieces share has many ranges.
-RANGE_ROWS = 500
+RANGE_ROWS = 200
+#: Ranges of sizes that a round is dealt to.
+SIZE_RANGES = 8
 #: Words of these characters only need no canonical composition, hold no white space and have plain lower case.
 _PLAIN = r"[!-~\xa1-\xac\xae-\u012f\u0131-\u024f]+"
 
@@ -175,6 +177,106 @@ def schedule(histogram: dict[int, int], capacity: int = CAPACITY) -> list[tuple[
     return plan
 
 
+_RUNS = "kind int, size int, first long, n long, seq long, gap int"
+_RUN = pa.schema([("kind", pa.int32()), ("size", pa.int32()), ("first", pa.int64()), ("n", pa.int64()), ("seq", pa.int64()), ("gap", pa.int32())])
+GAP, PIECES, MATCH, SHRUNK = 0, 1, 2, 3
+
+
+def sweep(runs: list[tuple[int, int, int, int]]) -> tuple[list[tuple], list[tuple]]:
+    """(matches, runs) of runs (kind, size, first, n) in order of size, the largest first, gaps before pieces: what is left, and the gaps that shrank. A match is (length, first rank,
+    n, first sequence, gap), where the k-th piece from that rank goes to the k-th sequence."""
+    stack: list[list[int]] = []
+    matches, left, shrunk = [], [], []
+    for kind, size, first, n in runs:
+        if kind == GAP:
+            stack.append([size, first, n])
+            continue
+        while n and stack:
+            gap, seq, open_ = stack[-1]
+            each = min(gap // size, n)
+            took = min(n // each, open_)
+            matches += [(size, first + j * took, took, seq, gap - j * size) for j in range(each)]
+            shrunk.append((SHRUNK, gap - each * size, seq, took))
+            first, n = first + each * took, n - each * took
+            if took == open_:
+                stack.pop()
+            else:
+                stack[-1] = [gap, seq + took, open_ - took]
+        if n:
+            left.append((PIECES, size, first, n))
+    return matches, left + [(GAP, *g) for g in stack] + shrunk
+
+
+def _sweep_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Sorted runs of one or more ranges to matches and what is left in each range; what an earlier sweep matched and shrank passes."""
+    parts: dict[int, list] = {}
+    for b in batches:
+        kind = b.column("kind").to_numpy()
+        done = pa.array(kind >= MATCH)
+        yield pa.RecordBatch.from_arrays([b.column(c).filter(done) for c in _RUN.names], schema=_RUN)
+        rows = zip(*(b.column(c).to_pylist() for c in ("part", "kind", "size", "first", "n")), strict=True)
+        for part, k, *rest in rows:
+            if k < MATCH:
+                parts.setdefault(part, []).append((k, *rest))
+    for runs in parts.values():
+        matches, left = sweep(runs)
+        out = [(MATCH, length, first, n, seq, gap) for length, first, n, seq, gap in matches] + [(*r, None, None) for r in left]
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), _RUN.types, strict=True)], schema=_RUN)
+
+
+def _round(spark, gaps: list[tuple[int, int, int]], pieces: list[tuple[int, int, int]]) -> tuple[list[tuple], list[tuple], list[tuple]]:
+    """(matches, gaps, pieces left) of one round over runs (size, first, n)."""
+    runs = sorted([(GAP, *g) for g in gaps] + [(PIECES, *p) for p in pieces], key=lambda r: (-r[1], r[0], r[2]))
+    step = -(-len(runs) // SIZE_RANGES)
+    # A range begins where a size does.
+    part, parts = 0, []
+    for i, r in enumerate(runs):
+        if i >= (part + 1) * step and r[1] != runs[i - 1][1]:
+            part = i // step
+        parts.append(part)
+    columns = [pa.array(parts, pa.int32()), *(pa.array(c, t) for c, t in zip(zip(*runs, strict=True), (pa.int32(), pa.int32(), pa.int64(), pa.int64()), strict=True))]
+    table_ = spark.createDataFrame(pa.table(columns, ["part", "kind", "size", "first", "n"])).withColumns({"seq": F.lit(None).cast("long"), "gap": F.lit(None).cast("int")})
+    order = [F.desc("size"), "kind", "first"]
+    ranges = table_.repartition(SIZE_RANGES, "part").sortWithinPartitions("part", *order).mapInArrow(_sweep_batches, _RUNS)
+    whole = ranges.withColumn("part", F.lit(0)).repartition(1).sortWithinPartitions(*order).mapInArrow(_sweep_batches, _RUNS)
+    got = whole.toArrow()
+    rows = list(zip(*(got.column(c).to_pylist() for c in _RUN.names), strict=True))
+    return [r[1:] for r in rows if r[0] == MATCH], [r[1:4] for r in rows if r[0] in (GAP, SHRUNK)], [r[1:4] for r in rows if r[0] == PIECES]
+
+
+def _joined(runs: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
+    """The runs with those that go on where another of their size ends as one."""
+    out: list[tuple[int, int, int]] = []
+    for size, first, n in sorted(runs):
+        if out and out[-1][0] == size and out[-1][1] + out[-1][2] == first:
+            out[-1] = (size, out[-1][1], out[-1][2] + n)
+        else:
+            out.append((size, first, n))
+    return out
+
+
+def rounds(histogram: dict[int, int], capacity: int, round_) -> list[tuple[int, int, int, int, int]]:
+    """(length, first rank, pieces, first sequence, offset): the matches of all rounds, by ``round_``(gaps, pieces)."""
+    plan, gaps, pieces, opened = [], [], [], 0
+    for length in sorted(histogram, reverse=True):
+        if 2 * length > capacity:  # no two of these fit together
+            plan.append((length, 0, histogram[length], opened, 0))
+            gaps.append((capacity - length, opened, histogram[length]))
+            opened += histogram[length]
+        else:
+            pieces.append((length, 0, histogram[length]))
+    more = max(0, -(-sum(k * n for k, n in histogram.items()) // capacity) - opened)
+    while pieces:
+        if more:
+            gaps.append((capacity, opened, more))
+            opened += more
+        least = min(p[0] for p in pieces)
+        matches, gaps, pieces = round_([g for g in _joined(gaps) if g[0] >= least], pieces)
+        plan += [(length, rank, n, seq, capacity - gap) for length, rank, n, seq, gap in matches]
+        more = 0 if matches else -(-sum(k * n for k, _, n in pieces) // capacity)
+    return plan
+
+
 def _place_batches(plan):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         length, rank, _, first, offset = plan.value
@@ -194,10 +296,10 @@ def _place_batches(plan):
 def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     """The pieces (doc_id, piece, start, length, ids_crc32) with sequence_id and offset. Pieces are read twice: give a written table."""
     spark = pieces.sparkSession
-    # Only the histogram comes to the driver: at most ``capacity`` rows.
+    # Only the histogram and the rounds' runs come to the driver.
     counts = pieces.groupBy("length").agg(F.count("*").alias("n"))
     histogram = {r["length"]: r["n"] for r in counts.collect()}
-    plan = schedule(histogram, capacity)
+    plan = rounds(histogram, capacity, lambda gaps, left: _round(spark, gaps, left))
     cols = np.array(plan, np.int64).reshape(-1, 5).T
     shared = spark.sparkContext.broadcast(tuple(np.ascontiguousarray(c) for c in cols))
     sizes = spark.createDataFrame([(k, -(-n // RANGE_ROWS)) for k, n in histogram.items()], "h_length long, ranges long")

@@ -491,6 +491,73 @@ def test_schedule_is_best_fit_decreasing(seed):
     assert collections.Counter(x for parts in used.values() for _, x in parts) == collections.Counter(lengths)
 
 
+def packed_alone(lengths, capacity, ranges):
+    """The rounds' plan without Spark, each swept over ``ranges`` ranges and then over what they left."""
+
+    def one(gaps, pieces):
+        runs = sorted([(packing.GAP, *g) for g in gaps] + [(packing.PIECES, *p) for p in pieces], key=lambda r: (-r[1], r[0], r[2]))
+        cuts = sorted({i * len(runs) // ranges for i in range(ranges)} | {len(runs)})
+        matches, left, shrunk = [], [], []
+        for a, b in zip(cuts, cuts[1:], strict=False):
+            m, rest = packing.sweep(runs[a:b])
+            matches += m
+            left += [r for r in rest if r[0] != packing.SHRUNK]
+            shrunk += [r[1:] for r in rest if r[0] == packing.SHRUNK]
+        m, left = packing.sweep(sorted(left, key=lambda r: (-r[1], r[0], r[2])))
+        return matches + m, [r[1:] for r in left if r[0] != packing.PIECES] + shrunk, [r[1:] for r in left if r[0] == packing.PIECES]
+
+    return packing.rounds(dict(collections.Counter(lengths)), capacity, one)
+
+
+def check_plan(plan, lengths, capacity):
+    """Sequences of a plan that places every piece once, without gaps or overlaps."""
+    used, ranks = collections.defaultdict(list), collections.Counter()
+    for length, rank, n, first, offset in plan:
+        for k in range(n):
+            used[first + k].append((offset, length))
+            ranks[length, rank + k] += 1
+    assert set(ranks.values()) <= {1}
+    assert collections.Counter(length for length, _ in ranks) == collections.Counter(lengths)
+    for parts in used.values():
+        at = 0
+        for offset, length in sorted(parts):
+            assert offset == at
+            at += length
+        assert at <= capacity
+    return len(used)
+
+
+@pytest.mark.parametrize("seed", range(8))
+def test_rounds_place_every_piece_about_as_well_as_best_fit_decreasing(seed):
+    rng = np.random.default_rng(seed)
+    capacity = [30, 64, 100, 2048][seed % 4]
+    n = 3000
+    lengths = [
+        rng.integers(1, capacity + 1, n), rng.integers(1, max(2, capacity // 8), n), rng.integers(capacity // 4, capacity // 2 + 1, n),
+        np.clip(rng.lognormal(np.log(capacity / 5), 1.1, n).astype(int), 1, capacity),
+    ][seed // 2]
+    lengths = lengths.tolist()
+    got = check_plan(packed_alone(lengths, capacity, 1 + seed), lengths, capacity)
+    assert sorted(packed_alone(lengths, capacity, 1)) == sorted(packed_alone(lengths, capacity, 1))
+    assert got <= best_fit(lengths, capacity) * 1.01 + 1
+
+
+def test_sweeps_of_ranges_match_what_one_sweep_matches():
+    rng = np.random.default_rng(3)
+    for _ in range(200):
+        runs = sorted([(int(rng.integers(0, 2)), int(rng.integers(1, 12)), 100 * i, int(rng.integers(1, 5))) for i in range(14)], key=lambda r: (-r[1], r[0], r[2]))
+        whole, left = packing.sweep(runs)
+        cut = int(rng.integers(0, 15))
+        a, rest_a = packing.sweep(runs[:cut])
+        b, rest_b = packing.sweep(runs[cut:])
+        open_ = lambda rs: [r for r in rs if r[0] != packing.SHRUNK]
+        c, rest = packing.sweep(sorted(open_(rest_a + rest_b), key=lambda r: (-r[1], r[0], r[2])))
+        each = lambda ms: sorted((length, first + k, seq + k, gap) for length, first, n, seq, gap in ms for k in range(n))
+        # Where a run of pieces is divided, the same gaps take as many of them, by other ranks.
+        place = lambda ms: sorted((length, seq, gap) for length, _, seq, gap in each(ms))
+        assert place(a + b + c) == place(whole) and sorted(open_(rest)) == sorted(open_(left))
+
+
 def test_packing_round_trip(docs, plain, spark):
     import zlib
 
@@ -514,7 +581,7 @@ def test_packing_round_trip(docs, plain, spark):
             assert offset == at
             at += length
         assert at <= 2048
-    assert len(places) == best_fit([w[3] for w in want], 2048)
+    assert len(places) <= best_fit([w[3] for w in want], 2048) * 1.01
     assert packing.packed(data.empty_documents(spark)).count() == 0
 
 
