@@ -15,13 +15,29 @@ from pyspark.sql import functions as F
 Provider = Callable[[Column], Column]
 
 
+def text_hash(text: str) -> int:
+    """The sum of (character + its byte offset) * 31^(characters after it), modulo 2**32."""
+    points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4")
+    sizes = 1 + (points >= 0x80) + (points >= 0x800) + (points >= 0x10000)
+    values = points + (np.cumsum(sizes) - sizes).astype(np.uint32)
+    return int((values * _powers_of_31(len(points))[::-1]).sum(dtype=np.uint32))
+
+
+_powers = np.ones(1, np.uint32)
+
+
+def _powers_of_31(n: int) -> np.ndarray:
+    global _powers
+    if len(_powers) < n:
+        steps = np.full(1 << n.bit_length(), 31, np.uint32)
+        steps[0] = 1
+        _powers = np.multiply.accumulate(steps, dtype=np.uint32)
+    return _powers[:n]
+
+
 def _seeded_vector(text: str, dim: int, legacy: bool) -> list[float]:
     """A polynomial hash per dimension. The seed only enters as seed * 31^n, so the text is read once for all dimensions."""
-    shared, power, at = 0, 1, 0
-    for ch in text:
-        shared = (shared * 31 + ord(ch) + at) % 2**32
-        power = power * 31 % 2**32
-        at += len(ch.encode("utf-8", "surrogatepass"))
+    shared, power = text_hash(text), pow(31, len(text), 1 << 32)
     hashes = (np.arange(dim, dtype=np.uint64) * np.uint64(power) + np.uint64(shared)) % np.uint64(2**32)
     v = ((hashes % np.uint64(10000)).astype(np.int64) - 5000).astype(np.float32) / np.float32(10000)
     square = float(np.sum(v.astype(np.float64) ** 2))

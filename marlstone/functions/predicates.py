@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+import ipaddress
 import re
 from collections.abc import Callable
 from functools import reduce
@@ -62,9 +64,23 @@ def ip_in_range(ip: Column, cidr: Column) -> Column:
     return F.pandas_udf(_ip_in_range, "boolean")(ip, cidr)
 
 
-def _ip_in_range(ip: pd.Series, cidr: pd.Series) -> pd.Series:
-    import ipaddress
+@functools.lru_cache(10_000)
+def _network(text: str):
+    try:
+        return ipaddress.ip_network(text, strict=False)
+    except ValueError:
+        return None
+
+
+@functools.lru_cache(100_000)
+def _address(text: str):
+    try:
+        return ipaddress.ip_address(text)
+    except ValueError:
+        return None
 
+
+def _ip_in_range(ip: pd.Series, cidr: pd.Series) -> pd.Series:
     def one(a, c):
         if a is None or c is None:
             return False
@@ -72,10 +88,8 @@ def _ip_in_range(ip: pd.Series, cidr: pd.Series) -> pd.Series:
             return True
         if "/" not in c:
             return a == c
-        try:
-            return ipaddress.ip_address(a) in ipaddress.ip_network(c, strict=False)
-        except ValueError:
-            return False
+        net, own = _network(c), _address(a)
+        return net is not None and own is not None and own in net
 
     return pd.Series([one(a, c) for a, c in zip(ip, cidr, strict=True)])
 

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import functools
+
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -65,11 +68,52 @@ def _table(poly: int, mask: int) -> list[int]:
     return out
 
 
-def _reflected(data: bytes, table: list[int], mask: int) -> int:
-    c = mask
-    for x in data:
-        c = table[(c ^ x) & 0xFF] ^ c >> 8
-    return c ^ mask
+#: Bytes that one step of a long checksum takes.
+_STEP = 256
+
+
+class _Checksum:
+    """A reflected CRC. It is linear, so the bytes of a block are looked up by their places and joined at once, and the register goes over a block by its own bytes."""
+
+    def __init__(self, poly: int, width: int):
+        self.mask = (1 << width) - 1
+        self.table = _table(poly, self.mask)
+        kind = np.uint32 if width == 32 else np.uint64
+        one = np.array(self.table, kind)
+        self.places = np.empty((_STEP, 256), kind)
+        self.places[-1] = one
+        for i in range(_STEP - 2, -1, -1):
+            after = self.places[i + 1]
+            self.places[i] = one[(after & kind(0xFF)).astype(np.int64)] ^ (after >> kind(8))
+        self.over = []
+        for j in range(width // 8):
+            row = []
+            for x in range(256):
+                c = x << (8 * j)
+                for _ in range(_STEP):
+                    c = self.table[c & 0xFF] ^ c >> 8
+                row.append(c)
+            self.over.append(row)
+
+    def __call__(self, data: bytes) -> int:
+        c, table = self.mask, self.table
+        head = len(data) % _STEP
+        for x in data[:head]:
+            c = table[(c ^ x) & 0xFF] ^ c >> 8
+        for at in range(head, len(data), _STEP << 12):
+            blocks = np.frombuffer(data, np.uint8, min(_STEP << 12, len(data) - at), at).reshape(-1, _STEP)
+            for own in np.bitwise_xor.reduce(self.places[np.arange(_STEP), blocks], axis=1).tolist():
+                over = own
+                for row in self.over:
+                    over ^= row[c & 0xFF]
+                    c >>= 8
+                c = over
+        return c ^ self.mask
+
+
+@functools.cache
+def _checksum(poly: int, width: int) -> _Checksum:
+    return _Checksum(poly, width)
 
 
 def crc32c_hex(data: Column) -> Column:
@@ -78,8 +122,8 @@ def crc32c_hex(data: Column) -> Column:
 
 
 def _crc32c_hex(data: pd.Series) -> pd.Series:
-    table = _table(0x82F63B78, 0xFFFFFFFF)
-    return data.map(lambda d: None if d is None else f"{_reflected(bytes(d), table, 0xFFFFFFFF):08x}")
+    crc = _checksum(0x82F63B78, 32)
+    return data.map(lambda d: None if d is None else f"{crc(bytes(d)):08x}")
 
 
 def crc64_hex(data: Column) -> Column:
@@ -88,9 +132,8 @@ def crc64_hex(data: Column) -> Column:
 
 
 def _crc64_hex(data: pd.Series) -> pd.Series:
-    mask = (1 << 64) - 1
-    table = _table(0xC96C5795D7870F42, mask)
-    return data.map(lambda d: None if d is None else f"{_reflected(bytes(d), table, mask):016x}")
+    crc = _checksum(0xC96C5795D7870F42, 64)
+    return data.map(lambda d: None if d is None else f"{crc(bytes(d)):016x}")
 
 
 def hmac_sha256_hex(data: Column, key: Column) -> Column:

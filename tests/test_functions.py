@@ -158,3 +158,33 @@ def test_metrics(spark):
 
 def test_label_key(spark):
     assert values(spark, S.label_key(F.col("m")), [({"b": "2", "a": "1"},)], "m map<string,string>") == ["a=1,b=2"]
+
+
+@pytest.mark.parametrize("poly,width", [(0x82F63B78, 32), (0xC96C5795D7870F42, 64)])
+def test_long_checksums_equal_a_loop(poly, width):
+    import random
+
+    from marlstone.functions import scalars
+
+    rng = random.Random(width)
+    crc = scalars._Checksum(poly, width)
+    for n in (0, 1, 255, 256, 257, 1000, 256 * 9, 5000):
+        data = rng.randbytes(n)
+        c = (1 << width) - 1
+        for x in data:
+            c ^= x
+            for _ in range(8):
+                c = c >> 1 ^ (poly if c & 1 else 0)
+        assert crc(data) == c ^ (1 << width) - 1
+    assert scalars._Checksum(0x82F63B78, 32)(b"123456789") == 0xE3069283
+
+
+def test_text_hash_equals_a_loop():
+    from marlstone.functions import embedding
+
+    for text in ("", "a", "the thing", "é日🙂x" * 50, "\ud800x"):
+        h = at = 0
+        for c in text:
+            h = (31 * h + ord(c) + at) % 2**32
+            at += len(c.encode("utf-8", "surrogatepass"))
+        assert embedding.text_hash(text) == h
