@@ -2,7 +2,9 @@
 
 Each step is one aggregation (with partial sums before the shuffle) and one join; edges
 shrink towards stars around the least node of each component. Nothing is gathered on the driver but a count
-and a checksum per round, and every round's edges are written to the shared folder, so lineage stays short."""
+and a checksum per round, and every round's edges are written to the shared folder, so lineage stays short.
+
+Defined results: repeated edges, edges in both directions and loops change nothing; edges with a null are left out; a node without any edge has no row; no edges give no rows."""
 
 from __future__ import annotations
 
