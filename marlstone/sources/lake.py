@@ -33,10 +33,11 @@ def is_text(content_type: Column, for_vectors: bool = False) -> Column:
     return out
 
 
-def indexed_text(objects: DataFrame, content: str = "content", content_type: str = "content_type") -> DataFrame:
-    """Objects of text types with the ``text`` of their first INDEXED_BYTES bytes, a bound that is part of the index's definition."""
+def indexed_text(objects: DataFrame, content: str = "content", content_type: str = "content_type", most: int | None = INDEXED_BYTES) -> DataFrame:
+    """Objects of text types with the ``text`` of their first ``most`` bytes, a bound that is part of the index's definition; None takes them whole."""
     rows = objects.where(is_text(F.col(content_type)))
-    return rows.withColumn("text", F.substring(F.col(content).cast("binary"), 1, INDEXED_BYTES).cast("string"))
+    data = F.col(content).cast("binary")
+    return rows.withColumn("text", (data if most is None else F.substring(data, 1, most)).cast("string"))
 
 
 def load_pipelines(text: str) -> list[Pipeline]:
