@@ -62,3 +62,39 @@ def test_claims_and_access(spark):
     assert [r.task_id for r in writes.claims(tasks, 50, 2).collect()] == [3, 2]
     r = spark.createDataFrame([("admin", "u", "o", "b", "put", False, []), ("viewer", "u", "u", "b", "put", False, []), ("viewer", "u", "o", "b", "get", True, []), ("viewer", "u", "o", "b", "put", True, ["b:put"]), ("viewer", "u", None, "b", "put", True, None)], "role string, user string, owner string, bucket string, action string, public boolean, permissions array<string>")
     assert [x.allow for x in writes.role_access(r).collect()] == [True, True, True, True, False]
+
+
+class Cluster:
+    """A session that names no shared folder."""
+
+    class conf:
+        get = staticmethod(lambda name, default=None: default)
+
+    class sparkContext:
+        master = "spark://somewhere:7077"
+
+        @staticmethod
+        def getConf():
+            return {}
+
+
+def test_no_local_folder_on_a_cluster():
+    from marlstone.sources import tables
+
+    with pytest.raises(ValueError):
+        tables.shared_folder(Cluster)
+
+
+def test_shards_and_logs_come_back(spark, tmp_path):
+    from marlstone.sources import sinks
+
+    rows = [(1, b""), (2, b"x"), (3, bytes(range(256)) * 3), (4, "é🙂".encode() * 7)]
+    df = spark.createDataFrame(rows, "id long, content binary")
+    got = sinks.joined_shards(sinks.shards(df, "id", 3), "id").collect()
+    assert sorted((r.id, bytes(r.content)) for r in got) == rows
+    assert len({len(r.part) for r in sinks.shards(df.where("id = 3"), "id", 3).collect()}) == 1
+    lines = spark.range(1000).selectExpr("concat('line ', id) AS value").repartition(2)
+    folder = sinks.write_lines(lines, f"file://{tmp_path}/log", most_bytes=2000)
+    assert sorted(r.value for r in spark.read.text(folder).collect()) == sorted(f"line {i}" for i in range(1000))
+    sizes = [p.stat().st_size for p in (tmp_path / "log").glob("*.txt")]
+    assert len(sizes) >= 5 and max(sizes) <= 2200
