@@ -799,3 +799,17 @@ def test_memo_is_bounded_and_right():
     other = common.WordMemo(lambda ws: dict.fromkeys(ws, 0), owner="other")
     assert other.table(["a"]) == {"a": 0} and not m.new and not m.old
     assert m.table(["abc"]) == {"abc": 3} and not other.new
+
+
+def test_no_local_folder_on_a_cluster():
+    from tests.test_sources import Cluster
+
+    with pytest.raises(ValueError):
+        common.shared_dir(Cluster)
+
+
+def test_long_words_are_not_remembered():
+    m = common.WordMemo(lambda ws: {w: len(w) for w in ws}, cap=10)
+    assert [m.getter()(w) for w in ("ab", "x" * 10_000, "ab")] == [2, 10_000, 2] and list(m.new) == ["ab"]
+    assert m.table(["y" * 500, "cd"])["y" * 500] == 500
+    assert m.table(["ef"])["ef"] == 2 and sorted(m.new) == ["ab", "cd", "ef"]
