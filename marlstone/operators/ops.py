@@ -116,3 +116,18 @@ def executions(rows: DataFrame, bucket: str = "", object_key: str = "") -> DataF
 def newest(rows: DataFrame, order: Sequence[str], n: int) -> DataFrame:
     """The n last rows by ``order``, the last first (INT-02, TOP-11): a top-k, without a full sort."""
     return rows.orderBy(*[F.desc(c) for c in order]).limit(n)
+
+
+def verified(objects: DataFrame) -> DataFrame:
+    """The objects with ``read``, the content where its SHA-256 is the stored one, and ``fault``: null, ``missing`` or ``corrupt`` (INT-03). Nothing corrupt is read."""
+    good = F.sha2("content", 256) == F.col("checksum")
+    fault = F.when(F.col("content").isNull(), "missing").when(~F.coalesce(good, F.lit(False)), "corrupt")
+    return objects.withColumn("fault", fault).withColumn("read", F.when(fault.isNull(), F.col("content")))
+
+
+def prefetched(requests: DataFrame, most: int, levels: Sequence[str] = ("critical", "high", "normal", "low")) -> DataFrame:
+    """The next ``most`` requests (request_id, level, at): by level, then in order of arrival; one of an unknown level is of the last (TOP-09)."""
+    place = F.lit(len(levels) - 1)
+    for i, name in enumerate(levels):
+        place = F.when(F.col("level") == name, i).otherwise(place)
+    return requests.withColumn("__place", place).orderBy("__place", "at", "request_id").limit(most).drop("__place")

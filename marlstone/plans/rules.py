@@ -199,7 +199,7 @@ def vec_ivf_probe(spark, sf_dir):
     return ann.probe(v, ann.assign(v, c), c, query_vector(spark, sf_dir), 3, 10)
 
 
-# VEC-09, VEC-15, VEC-16, OPT-08: approximate; the tests hold its recall.
+# VEC-07, VEC-09, VEC-15, VEC-16, OPT-08: approximate; the tests hold its recall.
 @query("vec_pq_search")
 def vec_pq_search(spark, sf_dir):
     v = vecs(spark, sf_dir)

@@ -331,3 +331,21 @@ def udf_host_calls(spark, sf_dir):
     grants = spark.createDataFrame([("p0", "storage:*"), ("p0", "event:publish"), ("p1", "storage:read:src1"), ("p2", "vector:search")], "plugin string, capability string")
     objects = docs(spark, sf_dir).select(F.col("source").alias("bucket"), F.col("doc_id").alias("key"), F.col("n_chars").alias("size"))
     return hosting.host_calls(calls, grants, objects).select("call_id", "status", "size")
+
+
+# INT-03: every 50th stored checksum is wrong.
+@query("int_verified_reads", "SELECT doc_id, CASE WHEN doc_id % 50 = 0 THEN 'corrupt' END AS fault, CASE WHEN doc_id % 50 <> 0 THEN strlen(text) END::INT AS n_bytes FROM documents")
+def int_verified_reads(spark, sf_dir):
+    stored = F.when(F.col("doc_id") % 50 == 0, F.lit("0")).otherwise(F.sha2("text", 256))
+    o = docs(spark, sf_dir).select("doc_id", F.col("text").cast("binary").alias("content"), stored.alias("checksum"))
+    return ops.verified(o).select("doc_id", "fault", F.octet_length("read").alias("n_bytes"))
+
+
+# TOP-09.
+@query(
+    "top_prefetch",
+    "SELECT event_id AS request_id FROM events ORDER BY CASE event_type WHEN 'purchase' THEN 0 WHEN 'signup' THEN 1 WHEN 'view' THEN 2 ELSE 3 END, ts, event_id LIMIT 40",
+)
+def top_prefetch(spark, sf_dir):
+    level = F.when(F.col("event_type") == "purchase", "critical").when(F.col("event_type") == "signup", "high").when(F.col("event_type") == "view", "normal").otherwise(F.col("event_type"))
+    return ops.prefetched(table(spark, sf_dir, "events").select(F.col("event_id").alias("request_id"), level.alias("level"), F.col("ts").alias("at")), 40).select("request_id")
