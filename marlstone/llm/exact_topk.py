@@ -5,14 +5,14 @@ sqrt(M - |c|^2) for a candidate c (M the largest squared norm) and 0 for a query
 |q - c|^2 = |q|^2 + M - 2 <q, c> and the triangle inequality holds.
 
 Index: each vector is keyed by its nearest pivot and its distance to it and the table is range-sorted by that key, so
-a block of up to ``BLOCK`` rows is a run of annuli of one pivot. (Range sorting also spreads a hot pivot or a
+a block of up to ``BLOCK`` rows is a run of annuli, each of up to ``ANNULUS`` rows of one pivot. (Range sorting also spreads a hot pivot or a
 vector that a third of all rows repeat.) Pivots come from a bounded sample of ``PIVOT_SAMPLE`` rows; every row is indexed.
 
 Search: a query begins in the block where its own key lies, which gives it a first k-th distance t. Since
-|d(q, p) - d(c, p)| <= d(q, c), only blocks whose distances to their pivot come within t of d(q, p) can hold more. The blocks' ranges are looked up in order
+|d(q, p) - d(c, p)| <= d(q, c), only blocks with a pivot whose distances there come within t of d(q, p) can hold more. Those ranges are looked up in order
 of their distances, from a broadcast of up to ``RINGS`` of them and beyond that by an equi-join on the pivot; there are about as many pivots as the root of
-the number of rows. A query's vector goes to the blocks in its reach only, and a block goes to one task, through which its queries stream. Within a block, annuli are
-expanded outwards from the query's own distance and stop at the same bound, with t shrinking as
+the number of rows. A query's vector goes once to each block in its reach, and a block goes to one task, through which its queries stream. Within a block, annuli are
+expanded outwards from the query's own distances and stop at the same bound, with t shrinking as
 results come. Scores are inner products of whole numbers, so they are exact (in Python's integers where doubles
 could round; a score beyond a long is given as the nearest long), and bounds have a small slack against rounding.
 
@@ -36,9 +36,9 @@ from ..sources.tables import table
 from . import common, vectors
 
 SCALE, TOP = 256, 5
-BLOCK, ANNULUS = 2048, 256
+BLOCK, ANNULUS = 8192, 256
 LEAST_PIVOTS, PIVOTS, PIVOT_SAMPLE = 24, 256, 2048
-#: Blocks whose ranges (24 bytes each) are broadcast.
+#: Ranges (28 bytes each: a block, a pivot, two distances) that are broadcast.
 RINGS = 1_000_000
 SLACK = 1e-6
 
@@ -80,15 +80,25 @@ def _key_batches(pivots, big: float):
                 p = pivots.value.get(dim, np.zeros((1, dim + 1)))
                 d = _distances(x, np.sqrt(np.maximum(big - (x * x).sum(axis=1), 0)), p)
                 near = d.argmin(axis=1)
-                as_query = np.sqrt(((x - p[near, :-1]) ** 2).sum(axis=1) + p[near, -1] ** 2)
-                yield pa.RecordBatch.from_pandas(rows.assign(pivot=near.astype("int32"), dist=d[np.arange(len(d)), near], qdist=as_query), preserve_index=False)
+                yield pa.RecordBatch.from_pandas(rows.assign(pivot=near.astype("int32"), dist=d[np.arange(len(d)), near]), preserve_index=False)
 
     return run
 
 
 class _Block:
-    def __init__(self, dim: int, dists: np.ndarray, ids: np.ndarray, rkeys: np.ndarray, x: np.ndarray):
-        self.dim, self.dists, self.ids, self.rkeys, self.x = dim, dists, ids, rkeys, x
+    """Rows in order of (pivot, distance to it), cut into annuli."""
+
+    def __init__(self, dim: int, pivots: np.ndarray, dists: np.ndarray, ids: np.ndarray, rkeys: np.ndarray, x: np.ndarray):
+        self.dim, self.pivots, self.dists, self.ids, self.rkeys, self.x = dim, pivots, dists, ids, rkeys, x
+        self.segments = np.flatnonzero(np.concatenate([[True], pivots[1:] != pivots[:-1]]))
+        stops = np.append(self.segments[1:], len(ids))
+        self.starts = np.concatenate([np.arange(a, b, ANNULUS) for a, b in zip(self.segments, stops, strict=True)])
+        self.stops = np.append(self.starts[1:], len(ids))
+
+    def rings(self) -> list[tuple[int, float, float]]:
+        """(pivot, least, greatest distance) of each pivot's rows."""
+        stops = np.append(self.segments[1:], len(self.ids)) - 1
+        return [(int(self.pivots[a]), float(self.dists[a]), float(self.dists[b])) for a, b in zip(self.segments, stops, strict=True)]
 
 
 def _products(q: np.ndarray, x: np.ndarray) -> np.ndarray:
@@ -99,13 +109,12 @@ def _products(q: np.ndarray, x: np.ndarray) -> np.ndarray:
     return np.array([[max(-lim - 1, min(lim, sum(a * b for a, b in zip(r, c, strict=True)))) for c in cols] for r in rows], np.int64).reshape(len(q), len(x))
 
 
-def _search(block: _Block, q: np.ndarray, qd: np.ndarray, qkeys: np.ndarray, t: np.ndarray, big: float, k: int):
+def _search(block: _Block, q: np.ndarray, away: np.ndarray, qkeys: np.ndarray, t: np.ndarray, big: float, k: int):
     """The best (row, score) of the block for each query: annuli in the order of their distance from the query's own, until
-    the nearest one left is beyond the k-th distance. qd: the queries' distances to the block's pivot; t: their k-th distances so far."""
-    starts = np.arange(0, len(block.ids), ANNULUS)
-    lo = block.dists[starts]
-    hi = block.dists[np.minimum(starts + ANNULUS, len(block.ids)) - 1]
-    gap = np.maximum(np.maximum(lo[None, :] - qd[:, None], qd[:, None] - hi[None, :]), 0)
+    the nearest one left is beyond the k-th distance. away: the queries' distances to all pivots; t: their k-th distances so far."""
+    starts, stops = block.starts, block.stops
+    own = away[:, block.pivots[starts]]
+    gap = np.maximum(np.maximum(block.dists[starts][None, :] - own, own - block.dists[stops - 1][None, :]), 0)
     order = np.argsort(gap, axis=1, kind="stable")
     norms = (q * q).sum(axis=1)
     none = np.iinfo(np.int64).min
@@ -121,7 +130,7 @@ def _search(block: _Block, q: np.ndarray, qd: np.ndarray, qkeys: np.ndarray, t:
             break
         for a in np.unique(at[live]):
             mine = live[at[live] == a]
-            cols = np.arange(starts[a], min(starts[a] + ANNULUS, len(block.ids)))
+            cols = np.arange(starts[a], stops[a])
             s = _products(q[mine], block.x[cols])
             own = block.rkeys[cols][None, :] == qkeys[mine][:, None]
             all_s = np.concatenate([score[mine], s], axis=1)
@@ -136,25 +145,32 @@ def _search(block: _Block, q: np.ndarray, qd: np.ndarray, qkeys: np.ndarray, t:
     return row, score, t
 
 
-_BUILT = "kind int, block long, dim int, pivot int, lo double, hi double, ids binary, rkeys binary, dists binary, vecs binary, t double, qkey long, ckey long, query_id long, vec_id long, score long"
+_BUILT = "kind int, block long, dim int, pivot int, lo double, hi double, ids binary, rkeys binary, pivots binary, dists binary, vecs binary, t double, qkey long, ckey long, query_id long, vec_id long, score long"
+
+
+def _away(q: np.ndarray, pivots: np.ndarray) -> np.ndarray:
+    """Distances of queries, whose added coordinate is 0, to the pivots."""
+    return _distances(q, np.zeros(len(q)), pivots)
 
 
-def _build(big: float, k: int):
-    """Sorted rows to blocks (kind 0), to their queries with the k-th distance found at home (kind 1) and to what they found there (kind 2)."""
+def _build(pivots, big: float, k: int):
+    """Sorted rows to blocks (kind 0), to their queries with the k-th distance found at home (kind 1), to what they found there (kind 2) and to the ranges of the blocks' pivots (kind 3)."""
     names = [c.split()[0] for c in _BUILT.split(", ")]
 
     def frame(kind: int, rows: list[dict]) -> pd.DataFrame:
         return pd.DataFrame(rows, columns=names).assign(kind=kind)
 
     def close(part: pd.DataFrame, number: int) -> Iterator[pd.DataFrame]:
-        dim, pivot = int(part["dim"].iloc[0]), int(part["pivot"].iloc[0])
+        dim = int(part["dim"].iloc[0])
         x = vectors.matrix(part["vec"], dim) if dim else np.zeros((len(part), 0))
-        block = _Block(dim, part["dist"].to_numpy(), part["vec_id"].to_numpy(), part["rkey"].to_numpy(), x)
-        yield frame(0, [{"block": number, "dim": dim, "pivot": pivot, "lo": block.dists[0], "hi": block.dists[-1], "ids": block.ids.tobytes(), "rkeys": block.rkeys.tobytes(), "dists": block.dists.tobytes(), "vecs": x.astype("<f8").tobytes()}])
+        block = _Block(dim, part["pivot"].to_numpy(), part["dist"].to_numpy(), part["vec_id"].to_numpy(), part["rkey"].to_numpy(), x)
+        yield frame(0, [{"block": number, "dim": dim, "ids": block.ids.tobytes(), "rkeys": block.rkeys.tobytes(), "pivots": block.pivots.astype("<i4").tobytes(), "dists": block.dists.tobytes(), "vecs": x.astype("<f8").tobytes()}])
+        yield frame(3, [{"block": number, "dim": dim, "pivot": p, "lo": lo, "hi": hi} for p, lo, hi in block.rings()])
         asked = np.flatnonzero(part["asked"].to_numpy())
         for i in range(0, len(asked), vectors.QUERY_ROWS):
             own = asked[i : i + vectors.QUERY_ROWS]
-            row, score, t = _search(block, x[own], part["qdist"].to_numpy()[own], block.rkeys[own], np.full(len(own), np.inf), big, k)
+            away = _away(x[own], pivots.value.get(dim, np.zeros((1, dim + 1))))
+            row, score, t = _search(block, x[own], away, block.rkeys[own], np.full(len(own), np.inf), big, k)
             yield frame(1, [{"block": number, "dim": dim, "vecs": x[j].astype("<f8").tobytes(), "t": t[n], "qkey": block.rkeys[j], "query_id": block.ids[j]} for n, j in enumerate(own)])
             yield frame(2, [{"qkey": block.rkeys[own[n]], "query_id": block.ids[own[n]], "ckey": block.rkeys[r], "vec_id": block.ids[r], "score": score[n, m]} for n in range(len(own)) for m, r in enumerate(row[n]) if r >= 0])
 
@@ -164,7 +180,7 @@ def _build(big: float, k: int):
         for pdf in frames:
             held = pdf if held is None else pd.concat([held, pdf], ignore_index=True)
             while len(held):
-                same = (held["dim"] == held["dim"].iloc[0]) & (held["pivot"] == held["pivot"].iloc[0])
+                same = held["dim"] == held["dim"].iloc[0]
                 n = min(int(same.argmin()) if not same.all() else len(held), BLOCK)
                 if n == len(held) and n < BLOCK:
                     break  # the next batch may go on with it
@@ -177,44 +193,47 @@ def _build(big: float, k: int):
     return run
 
 
-def _reach_batches(pivots, rings, big: float):
-    """Queries to one row for each block in their reach, with the distance to its pivot. ``rings``: by (dim, pivot) the blocks and, in order of distance, their ranges;
-    None: to one row for each pivot, to be joined."""
+def _reach_batches(pivots, rings):
+    """Queries to one row for each block in their reach. ``rings``: by (dim, pivot) the blocks and, in order of distance, their ranges; None: to one row for each pivot
+    with the distance to it, to be joined."""
+
+    def near(dim: int, d: np.ndarray, t: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        pairs = []
+        for j in range(d.shape[1]):
+            blocks, lo, hi = rings.value.get((dim, j), (np.zeros(0, np.int64), np.zeros(0), np.zeros(0)))
+            # Both ends of a pivot's ranges ascend, so those in reach are neighbours.
+            first, stop = np.searchsorted(hi, d[:, j] - t, side="left"), np.searchsorted(lo, d[:, j] + t, side="right")
+            n = np.maximum(stop - first, 0)
+            row = np.repeat(np.arange(len(d)), n)
+            pairs.append(np.column_stack([row, blocks[np.repeat(first - (np.cumsum(n) - n), n) + np.arange(len(row))]]))
+        both = np.unique(np.concatenate(pairs), axis=0)
+        return both[:, 0], both[:, 1]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            pdf = b.to_pandas()
-            for dim, rows in pdf.groupby("dim"):
-                x = vectors.matrix(rows["vecs"], dim) if dim else np.zeros((len(rows), 0))
+            for dim, some in b.to_pandas().groupby("dim"):
                 p = pivots.value.get(dim, np.zeros((1, dim + 1)))
-                d = _distances(x, np.zeros(len(x)), p)
-                t = rows["t"].to_numpy() * (1 + SLACK) + SLACK
-                for j in range(len(p)):
+                for i in range(0, len(some), 256):
+                    rows = some.iloc[i : i + 256]
+                    d = _away(vectors.matrix(rows["vecs"], dim) if dim else np.zeros((len(rows), 0)), p)
                     if rings is None:
-                        row, block = np.arange(len(rows)), np.full(len(rows), -1, np.int64)
+                        row, at = np.repeat(np.arange(len(rows)), len(p)), np.full(d.size, -1, np.int64)
+                        pivot, qd = np.tile(np.arange(len(p), dtype=np.int32), len(rows)), d.ravel()
                     else:
-                        blocks, lo, hi = rings.value.get((int(dim), j), (np.zeros(0, np.int64), np.zeros(0), np.zeros(0)))
-                        # Both ends of a pivot's blocks ascend, so those in reach are a range.
-                        first, stop = np.searchsorted(hi, d[:, j] - t, side="left"), np.searchsorted(lo, d[:, j] + t, side="right")
-                        n = np.maximum(stop - first, 0)
-                        row = np.repeat(np.arange(len(rows)), n)
-                        block = blocks[np.repeat(first - (np.cumsum(n) - n), n) + np.arange(len(row))]
-                    if len(row):
-                        took = lambda c: pa.array(rows[c].to_numpy()[row])  # noqa: B023, E731
-                        yield pa.RecordBatch.from_arrays(
-                            [took("qkey"), took("query_id"), took("home"), pa.array(np.full(len(row), dim, np.int32)), pa.array(np.full(len(row), j, np.int32)), pa.array(d[row, j]), took("t"), took("vecs"), pa.array(block)],
-                            ["qkey", "query_id", "home", "q_dim", "q_pivot", "qd", "t", "vecs", "at"],
-                        )
+                        row, at = near(int(dim), d, rows["t"].to_numpy() * (1 + SLACK) + SLACK)
+                        pivot, qd = np.full(len(row), -1, np.int32), np.zeros(len(row))
+                    yield pa.RecordBatch.from_pandas(rows.iloc[row].assign(at=at, pivot=pivot, qd=qd)[["qkey", "query_id", "home", "dim", "vecs", "t", "at", "pivot", "qd"]], preserve_index=False)
 
     return run
 
 
-def _expand(big: float, k: int):
+def _expand(pivots, big: float, k: int):
     def run(b: pd.Series, asked: pd.DataFrame) -> pd.DataFrame:
         dim = int(b["dim"])
-        block = _Block(dim, np.frombuffer(b["dists"], "<f8"), np.frombuffer(b["ids"], "<i8"), np.frombuffer(b["rkeys"], "<i8"), vectors.matrix([b["vecs"]], dim) if dim else np.zeros((len(b["ids"]) // 8, 0)))
+        ids, rkeys = np.frombuffer(b["ids"], "<i8"), np.frombuffer(b["rkeys"], "<i8")
+        block = _Block(dim, np.frombuffer(b["pivots"], "<i4"), np.frombuffer(b["dists"], "<f8"), ids, rkeys, vectors.matrix([b["vecs"]], dim) if dim else np.zeros((len(ids), 0)))
         q = vectors.matrix(asked["vecs"], dim) if dim else np.zeros((len(asked), 0))
-        row, score, _ = _search(block, q, asked["qd"].to_numpy(), asked["qkey"].to_numpy(), asked["t"].to_numpy(), big, k)
+        row, score, _ = _search(block, q, _away(q, pivots.value.get(dim, np.zeros((1, dim + 1)))), asked["qkey"].to_numpy(), asked["t"].to_numpy(), big, k)
         n, m = np.nonzero(row >= 0)
         r = row[n, m]
         return pd.DataFrame({"qkey": asked["qkey"].to_numpy()[n], "ckey": block.rkeys[r], "query_id": asked["query_id"].to_numpy()[n], "vec_id": block.ids[r], "score": score[n, m]})
@@ -223,7 +242,7 @@ def _expand(big: float, k: int):
 
 
 def _ranges(rings: DataFrame, most: int):
-    """A broadcast of the blocks' ranges by (dim, pivot), or None if there are more than ``most``."""
+    """A broadcast of the ranges by (dim, pivot), or None if there are more than ``most``."""
     got = rings.limit(most + 1).toArrow()
     if got.num_rows > most:
         return None
@@ -240,22 +259,21 @@ def exact_top_k(vecs: DataFrame, asked: Column, k: int = TOP, id_col: str = "vec
     big, most = float(counted["most"] or 0.0), max(LEAST_PIVOTS, min(PIVOTS, int(counted["n"] ** 0.5)))
     sample = rows.orderBy(F.xxhash64("rkey"), "rkey").limit(PIVOT_SAMPLE).select("dim", "vec").collect()
     pivots = spark.sparkContext.broadcast(_pivots([(r["dim"], bytes(r["vec"])) for r in sample], big, most))
-    keyed = rows.mapInArrow(_key_batches(pivots, big), "vec_id long, asked boolean, dim int, vec binary, rkey long, pivot int, dist double, qdist double")
+    keyed = rows.mapInArrow(_key_batches(pivots, big), "vec_id long, asked boolean, dim int, vec binary, rkey long, pivot int, dist double")
     n = common.partitions(spark)
     index = keyed.repartitionByRange(n, "dim", "pivot", "dist", "vec_id", "rkey").sortWithinPartitions("dim", "pivot", "dist", "vec_id", "rkey")
-    built, _ = common.written(index.mapInPandas(_build(big, k), _BUILT))
+    built, _ = common.written(index.mapInPandas(_build(pivots, big, k), _BUILT))
     blocks = built.where("kind = 0")
     queries = built.where("kind = 1").select("qkey", "query_id", F.col("block").alias("home"), "dim", "vecs", "t")
     at_home = built.where("kind = 2").select("qkey", "ckey", "query_id", "vec_id", "score")
-    rings = blocks.select("block", "dim", "pivot", "lo", "hi")
+    rings = built.where("kind = 3").select("block", "dim", "pivot", "lo", "hi")
     ranges = _ranges(rings, rings_most)
-    reach = queries.mapInArrow(_reach_batches(pivots, ranges, big), "qkey long, query_id long, home long, q_dim int, q_pivot int, qd double, t double, vecs binary, at long")
+    reach = queries.mapInArrow(_reach_batches(pivots, ranges), "qkey long, query_id long, home long, dim int, vecs binary, t double, at long, pivot int, qd double")
     if ranges is None:
-        near = (F.col("dim") == F.col("q_dim")) & (F.col("pivot") == F.col("q_pivot"))
         in_reach = F.greatest(F.col("lo") - F.col("qd"), F.col("qd") - F.col("hi")) <= F.col("t") * (1 + SLACK) + SLACK
-        reach = reach.drop("at").join(rings.withColumnRenamed("block", "at"), near & in_reach)
-    there = reach.where(F.col("at") != F.col("home")).select(F.col("at").alias("block"), "qkey", "query_id", "vecs", "t", "qd")
-    found = vectors.met(blocks.select("block", "dim", "ids", "rkeys", "dists", "vecs"), there, "block", _expand(big, k), _FOUND)
+        reach = reach.drop("at").join(rings.withColumnRenamed("block", "at"), ["dim", "pivot"]).where(in_reach).dropDuplicates(["qkey", "at"])
+    there = reach.where(F.col("at") != F.col("home")).select(F.col("at").alias("block"), "qkey", "query_id", "vecs", "t")
+    found = vectors.met(blocks.select("block", "dim", "ids", "rkeys", "pivots", "dists", "vecs"), there, "block", _expand(pivots, big, k), _FOUND)
     return vectors.best(at_home.unionByName(found), k, [F.col("score").desc()])
 
 
