@@ -25,6 +25,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -254,9 +255,9 @@ def nearest(vecs: DataFrame, asked: Column, k: int = TOP, relax: float = RELAX,
     spark = vecs.sparkSession
     rows = vectors.valid_vectors(vecs, asked, id_col, vec_col, drop_zero=True)
     counts = {r["dim"]: r["n"] for r in rows.groupBy("dim").agg(F.count("*").alias("n")).collect()}
-    sample = rows.orderBy(F.xxhash64("rkey"), "rkey").limit(SAMPLE).select("dim", "vec").collect()
+    sample = rows.orderBy(F.xxhash64("rkey"), "rkey").limit(SAMPLE).select("dim", "vec").toArrow()
     # A dimension that the sample misses is one region.
-    points = {d: vectors.matrix([bytes(r["vec"]) for r in sample if r["dim"] == d], d) if d else np.zeros((0, 0)) for d in counts}
+    points = {d: vectors.matrix(sample.filter(pc.field("dim") == d)["vec"].to_pylist(), d) if d else np.zeros((0, 0)) for d in counts}
     tops = spark.sparkContext.broadcast({d: Regions(points[d], n * SHARD // shard_rows) for d, n in counts.items()})
     placed, _ = common.written(rows.mapInArrow(_home_batches(tops), "vec_id long, asked boolean, dim int, vec binary, rkey long, region long"))
     # At most one row for each region: their number is bounded by the sample.
