@@ -66,8 +66,8 @@ class _WordEncoder:
         shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
         rest = [b for b in range(256) if b not in set(shown)]
         self.shown = {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(rest)}
-        self.pieces = common.WordMemo(None, 200_000, "packing", self._piece)
-        self.words = common.WordMemo(None, 300_000, "packing", self._word)
+        self.pieces = common.WordMemo(None, 100_000, "packing", self._piece)
+        self.words = common.WordMemo(None, 150_000, "packing", self._word)
         self.piece = self.pieces.getter()
 
     def _piece(self, piece: str) -> bytes:

@@ -61,7 +61,7 @@ def _word_kind(word: bytes) -> tuple[int, int]:
     return _bucket(core), int(len(word) - len(core) >= 3)
 
 
-_words = common.WordMemo(lambda words: {w: _word_kind(w) for w in words}, 150_000, "quality")
+_words = common.WordMemo(lambda words: {w: _word_kind(w) for w in words}, 100_000, "quality")
 
 
 def features(text: bytes | None) -> list[int]:
