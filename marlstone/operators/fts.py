@@ -48,18 +48,10 @@ def term_counts(docs: DataFrame, id_cols: Sequence[str], text_col: str = "text",
 
 
 def postings(docs: DataFrame, id_cols: Sequence[str], text_col: str = "text", stop_words: Sequence[str] = T.STOP_WORDS) -> DataFrame:
-    """The inverted index: (term, ids, tf, positions, dl) (FTS-07). A document's terms are grouped within its row, so nothing is shuffled."""
+    """The inverted index: (term, ids, tf, positions, dl) (FTS-07)."""
     listed = docs.select(*id_cols, terms(F.col(text_col), stop_words).alias("__t"))
-    places = F.transform("__t", lambda t, i: F.struct(t.alias("term"), i.alias("at")))
-    listed = listed.select(*id_cols, F.size("__t").alias("dl"), F.array_sort(places).alias("__p"))
-    # Sorted by term and place: a term's places are the run that begins where the term changes.
-    starts = F.filter(
-        F.transform("__p", lambda p, i: F.struct(p["term"].alias("term"), i.alias("i"), (i == 0).alias("head"))), lambda p: p["head"] | (F.get(F.col("__p"), p["i"] - 1)["term"] != p["term"])
-    )
-    listed = listed.withColumn("__s", starts).select(*id_cols, "dl", "__p", "__s", F.posexplode("__s").alias("__k", "__head"))
-    stop = F.coalesce(F.get(F.col("__s"), F.col("__k") + 1)["i"], F.size("__p"))
-    own = F.transform(F.slice("__p", F.col("__head.i") + 1, stop - F.col("__head.i")), lambda p: p["at"])
-    return listed.select(*id_cols, F.col("__head.term").alias("term"), (stop - F.col("__head.i")).cast("long").alias("tf"), own.alias("positions"), "dl")
+    at = listed.select(*id_cols, F.size("__t").alias("dl"), F.posexplode("__t").alias("position", "term"))
+    return at.groupBy("term", *id_cols, "dl").agg(F.count("*").alias("tf"), F.sort_array(F.collect_list("position")).alias("positions")).select(*id_cols, "term", "tf", "positions", "dl")
 
 
 def document_frequencies(docs: DataFrame, text_col: str = "text", stop_words: Sequence[str] = T.STOP_WORDS) -> DataFrame:
