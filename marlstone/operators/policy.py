@@ -87,21 +87,30 @@ def statement_matches(principal: Column, action: Column, resource: Column, s: di
 def evaluate(requests: DataFrame, statements: DataFrame, request_id: str = "request_id", with_scp: bool = True) -> DataFrame:
     """(request_id, decision, matched_by): POL-01 to POL-05, POL-08, JON-08, JON-09.
 
-    Statements (policy_type: identity, resource, scp or boundary; effect; ordinal; sid; owner: null for all or the principal) are configuration,
-    broadcast to the requests. The flags are one partial aggregation per request, then the ladder: organisation gate, explicit deny, identity
-    allow bounded by the boundary, resource allow, implicit deny. Requests without any match keep their row."""
-    s = {c: F.col(c) for c in ("principals", "actions", "not_actions", "resources", "not_resources")}
-    hit = statement_matches(F.col("principal"), F.col("action"), F.col("resource"), s) & (F.col("owner").isNull() | (F.col("owner") == F.col("principal")))
-    both = requests.join(F.broadcast(statements), hit, "left")
-    flag = lambda kinds, effect: F.max(F.when(F.col("policy_type").isin(*kinds) & (F.col("effect") == effect), F.struct((-F.col("ordinal")).alias("o"), "sid"))).alias
-    per = both.groupBy(request_id, "principal").agg(
-        flag(["scp"], "Deny")("scp_deny"), flag(["scp"], "Allow")("scp_allow"), flag(["identity", "resource"], "Deny")("deny"),
-        flag(["identity"], "Allow")("identity"), flag(["resource"], "Allow")("resource"), flag(["boundary"], "Allow")("boundary"),
-        flag(["boundary"], "Deny")("boundary_deny"),
-    )
-    has = lambda kind: statements.where(F.col("policy_type") == kind).agg((F.count("*") > 0).alias(f"any_{kind}"))
-    bounded = statements.where("policy_type = 'boundary'").select(F.col("owner").alias("b_owner")).distinct().withColumn("bounded", F.lit(True))
-    per = per.join(F.broadcast(has("scp"))).join(F.broadcast(bounded), F.col("b_owner").eqNullSafe(F.col("principal")), "left")
+    Statements (policy_type: identity, resource, scp or boundary; effect; ordinal; sid; owner: null for all or the principal) are configuration: one
+    row that holds them all, the first in order first, is broadcast to the requests and matched within each. It is no join condition, since from one with
+    lambdas Spark 4.1 infers filters on the statements that name the requests' columns, which fail. The flags (places of the first statements that match) are one partial
+    aggregation per request, then the ladder: organisation gate, explicit deny, identity allow bounded by the boundary, resource allow, implicit deny.
+    Requests without any match keep their row."""
+    fields = ("policy_type", "effect", "owner", "principals", "actions", "not_actions", "resources", "not_resources")
+    listed = statements.agg(F.sort_array(F.collect_list(F.struct((-F.col("ordinal")).alias("o"), "sid", *fields)), asc=False).alias("__statements"))
+
+    def matched(s: Column, place: Column) -> Column:
+        # The owner first: what it turns down needs no patterns.
+        hit = (s["owner"].isNull() | (s["owner"] == F.col("principal"))) & statement_matches(F.col("principal"), F.col("action"), F.col("resource"), {c: s[c] for c in fields})
+        return F.when(hit, F.struct(place.alias("place"), s["policy_type"].alias("policy_type"), s["effect"].alias("effect")))
+
+    both = requests.crossJoin(F.broadcast(listed)).select(request_id, "principal", F.transform("__statements", matched).alias("__hits"))
+    flags = {
+        "scp_deny": (["scp"], "Deny"), "scp_allow": (["scp"], "Allow"), "deny": (["identity", "resource"], "Deny"), "identity": (["identity"], "Allow"),
+        "resource": (["resource"], "Allow"), "boundary": (["boundary"], "Allow"), "boundary_deny": (["boundary"], "Deny"),
+    }
+    first = lambda kinds, effect: F.array_min(F.transform(F.filter("__hits", lambda h: h["policy_type"].isin(*kinds) & (h["effect"] == effect)), lambda h: h["place"]))
+    per = both.select(request_id, "principal", *[first(*v).alias(k) for k, v in flags.items()]).groupBy(request_id, "principal").agg(*[F.min(k).alias(k) for k in flags])
+    per = per.crossJoin(F.broadcast(listed)).withColumns({
+        "any_scp": F.exists("__statements", lambda s: s["policy_type"] == "scp"),
+        "bounded": F.exists("__statements", lambda s: (s["policy_type"] == "boundary") & s["owner"].eqNullSafe(F.col("principal"))),
+    })
     on = lambda c: F.col(c).isNotNull()
     ladder = []
     if with_scp:
@@ -115,7 +124,7 @@ def evaluate(requests: DataFrame, statements: DataFrame, request_id: str = "requ
     decision, by = F.lit("implicit_deny"), F.lit("none")
     for test, result, kind, source in reversed(ladder):
         decision = F.when(test, F.lit(result)).otherwise(decision)
-        by = F.when(test, F.concat(F.lit(kind + ":"), F.col(f"{source}.sid")) if source else F.lit(kind)).otherwise(by)
+        by = F.when(test, F.concat(F.lit(kind + ":"), F.get("__statements", F.col(source))["sid"]) if source else F.lit(kind)).otherwise(by)
     return per.select(request_id, decision.alias("decision"), by.alias("matched_by"))
 
 
