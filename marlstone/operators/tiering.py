@@ -38,9 +38,10 @@ def scored(objects: DataFrame, accesses: DataFrame, keys: Sequence[str], ts: str
 
 
 def decisions(scored_objects: DataFrame) -> DataFrame:
-    """Moves to be made: the target differs and the object is not pinned (TIR-03)."""
+    """Moves to be made: the target differs and the object is not pinned (TIR-03). The reason's score is the exact value to two places, a tie to the even digit, as
+    printf has it (30.825 is 30.82, its nearest double being less; format_string rounds the decimal digits up)."""
     rows = scored_objects.where((F.col("target_tier") != F.col("tier")) & ~F.col("pinned"))
-    return rows.withColumn("reason", F.concat(F.lit("score "), F.format_string("%.2f", "score"), F.lit(": "), "tier", F.lit(" to "), "target_tier"))
+    return rows.withColumn("reason", F.concat(F.lit("score "), F.call_function("format_number", F.col("score"), F.lit("0.00")), F.lit(": "), "tier", F.lit(" to "), "target_tier"))
 
 
 def trailing_counts(rows: DataFrame, keys: Sequence[str], ts: str, seconds: int, name: str = "in_window") -> DataFrame:

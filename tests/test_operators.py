@@ -249,6 +249,13 @@ def test_policy_conditions(spark):
     assert sub.select(policy.substituted(F.col("v"), F.col("c"), ["aws:PrincipalTag/Team"])).first()[0] == "a-x--z"
 
 
+def test_reasons_round_as_printf(spark):
+    scores = [27.685, 30.825, 30.125, 0.125, 0.375, 1.005, 2.675, 0.0, 0.004999, 0.995, 99.995, 100.0, 1234.565, 64.5, *[i / 1000 + 0.005 for i in range(0, 100_000, 10)]]
+    rows = spark.createDataFrame([(x, "HOT", "COLD", False) for x in scores], "score double, tier string, target_tier string, pinned boolean")
+    got = {r.score: r.reason for r in tiering.decisions(rows).collect()}
+    assert got == {x: f"score {x:.2f}: HOT to COLD" for x in scores}
+
+
 FRESH = """
 from pyspark.sql import SparkSession
 from marlstone.plans import rules
