@@ -121,3 +121,52 @@ def test_copies_just_above_the_threshold_go(spark):
         rows.append((2 * i + 1, " ".join(t + [f"v{rng.randrange(10**6)}" for _ in range(50 - i % 15)])))
     kept = sorted(r.doc_id for r in wide.deduplicated(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect())
     assert kept == [2 * i for i in range(150)]
+
+
+@pytest.mark.parametrize("common,own_a,own_b", [(4, 0, 1), (5, 0, 1), (6, 0, 1), (8, 1, 1), (8, 0, 2), (12, 1, 2), (40, 5, 5), (360, 45, 45), (400, 0, 100)])
+def test_pairs_at_the_threshold_are_within_the_radius(common, own_a, own_b):
+    """Fingerprints of sets at or just above 0.8 differ as often as ``difference`` says at most, and never by more than the radius."""
+    rng = np.random.default_rng(common)
+    apart = []
+    for _ in range(1000):
+        x = rng.integers(0, 1 << 64, common + own_a + own_b, np.uint64)
+        a, b = x[: common + own_a], np.concatenate([x[:common], x[common + own_a :]])
+        apart.append(np.unpackbits(np.frombuffer(wide.set_print(a), np.uint8) ^ np.frombuffer(wide.set_print(b), np.uint8)).sum())
+    assert max(apart) <= wide.radius_of(0.8) and np.mean(apart) / 256 < wide.difference(0.8) + 0.003
+
+
+def test_set_print_is_the_majority_of_the_distinct_shingles():
+    once, often = "a b c d e f g h i j", "a b c d e f g h i j a b c d e f g h i j"
+    assert wide.set_print(wide.shingle_set(once.encode())) != bytes(32) == wide.set_print(wide.shingle_set(None))
+    assert wide.set_print(wide.shingle_set(f"{often} {once}".encode())) == wide.set_print(wide.shingle_set(f"{often} {often}".encode()))
+    rng = np.random.default_rng(3)
+    x = rng.integers(0, 1 << 64, 40_001, np.uint64)
+    assert len(wide.set_print(x)) == 32 and wide.set_print(x) == wide.set_print(x[::-1].copy())
+
+
+@pytest.mark.parametrize("bucket,small", [(2048, 64), (2048, 2), (3, 2)])
+def test_groups_are_the_components_within_the_radius(spark, monkeypatch, bucket, small):
+    """Nodes that share a band are grouped exactly where the differences of their fingerprints, counted one by one, join them."""
+    monkeypatch.setattr(wide, "BUCKET", bucket)
+    monkeypatch.setattr(wide, "SMALL", small)
+    rng, radius = np.random.default_rng(11), wide.radius_of(0.8)
+    rows, prints = [], []
+    for i in range(90):
+        p = np.frombuffer(prints[rng.integers(len(prints))] if prints and i % 3 else rng.bytes(32), np.uint8)
+        bits = np.unpackbits(p)
+        bits[rng.choice(256, rng.integers(radius - 6, radius + 7) if i % 3 else 0, replace=False)] ^= 1
+        prints.append(np.packbits(bits).tobytes())
+        rows.append((i * 7, [i % 2, 5], bytearray(prints[-1])))
+    parent = list(range(90))
+    for i in range(90):
+        for j in range(i):
+            if bin(int.from_bytes(prints[i], "big") ^ int.from_bytes(prints[j], "big")).count("1") <= radius:
+                old, new = parent[i], parent[j]
+                parent = [new if x == old else x for x in parent]
+    want = collections.defaultdict(set)
+    for i, x in enumerate(parent):
+        want[x].add(i * 7)
+    got = collections.defaultdict(set)
+    for r in wide.candidates(spark.createDataFrame(rows, "node long, bands array<long>, print binary").repartition(3)).collect():
+        got[r.bucket].add(r.node)
+    assert sorted(map(sorted, got.values())) == sorted(sorted(x) for x in want.values() if len(x) > 1)
