@@ -29,6 +29,7 @@ from heapq import heappop, heappush
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -41,54 +42,124 @@ RANGE_ROWS = 200
 #: Ranges of sizes that a round is dealt to.
 SIZE_RANGES = 8
 #: Words of these characters only need no canonical composition, hold no white space and have plain lower case.
-_PLAIN = r"[!-~\xa1-\xac\xae-\u012f\u0131-\u024f]+"
+_PLAIN = r"^[!-~\x{a1}-\x{ac}\x{ae}-\x{12f}\x{131}-\x{24f}]*$"
+_PRE_TOKEN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+#: Bytes of the texts whose words are looked up together; a longer text stands alone.
+TEXTS_BYTES = 4 << 20
 
 _encoders: dict = {}
 
 
+def byte_ranks(model: dict) -> tuple[dict[bytes, int], list[int]] | None:
+    """A word BPE model's tokens as bytes, a line feed for the end of a word, with their ranks in order of merging, and the id of each rank; None where merging whatever
+    two tokens make one of the least rank could differ from the model, which merges only the pairs that it lists.
+
+    It cannot where each token has one pair, that of earlier tokens, and the model makes of a token's characters that token: were two others to make it within a word, no merge had crossed its ends, and
+    its characters alone would have come to those two as well."""
+    from tokenizers import models
+
+    shown = _shown()
+    byte = {c: bytes([b]) for b, c in shown.items()}
+    end, vocab = "</w>", model["vocab"]
+    if model["type"] != "BPE" or model["end_of_word_suffix"] != end or any(model.get(k) for k in ("dropout", "unk_token", "continuing_subword_prefix", "byte_fallback", "ignore_merges")):
+        return None
+    names = [*shown.values(), *(c + end for c in shown.values())]
+    merges = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in model["merges"]]
+    known = set(names)
+    for a, b in merges:
+        if a not in known or b not in known or a.endswith(end) or a + b in known:
+            return None
+        known.add(a + b)
+        names.append(a + b)
+    if not known <= vocab.keys():
+        return None
+    inner, last = models.BPE(vocab, merges), models.BPE(vocab, merges, end_of_word_suffix=end)
+    for t in names[512:]:
+        got = last.tokenize(t.removesuffix(end)) if t.endswith(end) else inner.tokenize(t)
+        if [x.value for x in got] != [t]:
+            return None
+    ranks = {b"".join(map(byte.__getitem__, t.removesuffix(end))) + b"\n" * t.endswith(end): i for i, t in enumerate(names)}
+    return (ranks, [vocab[t] for t in names]) if len(ranks) == len(names) else None
+
+
+def _shown() -> dict[int, str]:
+    """The character that stands for each byte in a byte-level vocabulary."""
+    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = [b for b in range(256) if b not in set(shown)]
+    return {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(rest)}
+
+
 class _WordEncoder:
-    """Ids of white-space-separated words for the lower-casing word BPE, as little-endian 32-bit bytes.
+    """Ids of white-space-separated words for the lower-casing word BPE.
 
     That tokenizer's pre-tokens never hold white space and its normalization never crosses it, so a
-    text's ids are its words' ids in order. Words of plain characters are cut into pre-tokens here and go to
-    the BPE model directly; all others take the tokenizer's whole way."""
+    text's ids are its words' ids in order. The distinct words of some texts are found, lower-cased and cut into pre-tokens by Arrow, and their pre-tokens are merged in one call, where they are of plain
+    characters; all others take the tokenizer's whole way, as all do where ``byte_ranks`` finds that the call could differ from the tokenizer."""
 
     def __init__(self, path: str):
-        import regex
+        import json
+
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
         self.tok.no_truncation()
         self.tok.no_padding()
-        self.model = self.tok.model
-        self.cut = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+").findall
-        self.plain = regex.compile(_PLAIN).fullmatch
-        shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
-        rest = [b for b in range(256) if b not in set(shown)]
-        self.shown = {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(rest)}
-        self.pieces = common.WordMemo(None, 100_000, "packing", self._piece)
-        self.words = common.WordMemo(None, 150_000, "packing", self._word)
-        self.piece = self.pieces.getter()
-
-    def _piece(self, piece: str) -> bytes:
-        shown = piece if piece.isascii() else "".join([self.shown[b] for b in piece.encode()])
-        return array("I", [t.id for t in self.model.tokenize(shown)]).tobytes()
-
-    def _word(self, w: str) -> bytes:
-        if w.isascii() and w.isprintable() or self.plain(w):
-            # Letters alone, or with one mark behind them, are cut without the pattern.
-            if w.isalpha():
-                return self.piece(w.lower())
-            if w[:-1].isalpha() and not w[-1].isalnum():
-                return self.piece(w[:-1].lower()) + self.piece(w[-1])
-            if "<|" not in w:
-                return b"".join(map(self.piece, self.cut(w.lower())))
-        return array("I", self.tok.encode(w, add_special_tokens=False).ids).tobytes()
+        with open(path, encoding="utf-8") as f:
+            found = byte_ranks(json.load(f)["model"])
+        self.merge = None
+        if found:
+            from tiktoken import _tiktoken
+
+            self.merge = _tiktoken.CoreBPE(found[0], {}, r"[^\n]+\n").encode_to_tiktoken_buffer
+            self.ids = np.array(found[1], "<u4")
+            self.ends = np.array([t.endswith(b"\n") for t in found[0]])
+        self.odd = common.WordMemo(None, 150_000, "packing", self._whole)
+
+    def _whole(self, word: str) -> bytes:
+        return array("I", self.tok.encode(word, add_special_tokens=False).ids).tobytes()
+
+    def _merged(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of words of plain characters, one after the other, and where each word's end."""
+        cut = pc.replace_substring_regex(pc.utf8_lower(words), _PRE_TOKEN, "\\0\n")
+        at = np.frombuffer(cut.buffers()[1], np.int64)[cut.offset : cut.offset + len(cut) + 1]
+        text = str(memoryview(cut.buffers()[2] or b"")[at[0] : at[-1]], "utf-8")
+        ranks = np.frombuffer(self.merge(text, set()), np.uint32) if text else np.zeros(0, np.uint32)
+        ends = np.concatenate([[0], np.flatnonzero(self.ends[ranks]) + 1])
+        return self.ids[ranks], ends[np.cumsum(pc.count_substring(cut, "\n").to_numpy())]
+
+    def _distinct(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Ids, and where those of each word begin and end."""
+        plain = pc.match_substring_regex(words, _PLAIN) if self.merge else pa.array([False] * len(words))
+        if self.merge:
+            plain = pc.and_not(plain, pc.match_substring(words, "<|"))
+        is_plain = plain.to_numpy(zero_copy_only=False)
+        ids, ends = self._merged(words.filter(plain)) if self.merge else (np.zeros(0, "<u4"), np.zeros(0, np.int64))
+        if is_plain.all():
+            return ids, np.concatenate([[0], ends[:-1]]), ends
+        whole = list(map(self.odd.getter(), words.filter(pc.invert(plain)).to_pylist()))
+        more = len(ids) + np.cumsum([len(x) // 4 for x in whole])
+        begin, end = np.zeros(len(words), np.int64), np.zeros(len(words), np.int64)
+        begin[is_plain], end[is_plain] = np.concatenate([[0], ends])[: len(ends)], ends
+        begin[~is_plain], end[~is_plain] = np.concatenate([[len(ids)], more[:-1]]), more
+        return np.concatenate([ids, np.frombuffer(b"".join(whole), "<u4")]), begin, end
+
+    def many(self, texts: pa.Array) -> list[np.ndarray]:
+        """Ids of each text; a null one has none."""
+        texts = pc.fill_null(texts.cast(pa.large_string()), "")
+        words = pc.split_pattern(pc.replace_substring(texts, "\n", " "), " ")
+        coded = words.flatten().dictionary_encode()
+        ids, begin, end = self._distinct(coded.dictionary)
+        code = coded.indices.to_numpy()
+        n = (end - begin)[code]
+        to = np.cumsum(n)
+        # The place of each id among the distinct words' ids: steps of one within a word.
+        place = np.repeat(begin[code] - to + n, n)
+        place += np.arange(len(place))
+        ends = np.concatenate([[0], to])[np.cumsum(pc.list_value_length(words).to_numpy())]
+        return np.split(ids[place], ends)[:-1]
 
     def __call__(self, text: str) -> bytes:
-        words = self.words.getter()
-        self.piece = self.pieces.getter()
-        return b"".join(map(words, text.replace("\n", " ").split(" ")))
+        return self.many(pa.array([text], pa.string()))[0].tobytes()
 
 
 def encoder(path: str) -> _WordEncoder:
@@ -103,17 +174,29 @@ def default_tokenizer() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def _groups(texts: pa.Array) -> Iterator[tuple[int, int]]:
+    """(first, end) of texts in a row that hold ``TEXTS_BYTES`` at most, or of one longer text."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy().astype(np.int64))
+    at = 0
+    while at < len(ends):
+        end = max(at + 1, int(np.searchsorted(ends, TEXTS_BYTES + (ends[at - 1] if at else 0), side="right")))
+        yield at, end
+        at = end
+
+
 def _cut_batches(path: str | None, capacity: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(path or default_tokenizer())
         for b in batches:
             out: list[list] = [[], [], [], [], []]
-            for doc, x in zip(b.column(0).to_pylist(), b.column(1), strict=True):
-                ids = encode(x.as_py() or "") + b"\0\0\0\0"
-                for piece, at in enumerate(range(0, len(ids), 4 * capacity)):
-                    part = ids[at : at + 4 * capacity]
-                    for col, v in zip(out, (doc, piece, at // 4, len(part) // 4, zlib.crc32(part)), strict=True):
-                        col.append(v)
+            docs, texts = b.column(0).to_pylist(), b.column(1)
+            for first, end in _groups(texts):
+                for doc, own in zip(docs[first:end], encode.many(texts.slice(first, end - first)), strict=True):
+                    ids = own.tobytes() + b"\0\0\0\0"
+                    for piece, at in enumerate(range(0, len(ids), 4 * capacity)):
+                        part = ids[at : at + 4 * capacity]
+                        for col, v in zip(out, (doc, piece, at // 4, len(part) // 4, zlib.crc32(part)), strict=True):
+                            col.append(v)
             kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64())
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds, strict=True)], ["doc_id", "piece", "start", "length", "ids_crc32"])
 

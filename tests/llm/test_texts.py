@@ -7,9 +7,11 @@ import lzma
 import math
 import random
 import re
+import time
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from marlstone.llm import common, licenses, mixing, packing, quality, secret_scan, simhash, substring_dedup, token_counts
@@ -458,6 +460,83 @@ def test_ids_equal_the_tokenizer(plain):
         assert np.frombuffer(encode(t), "<u4").tolist() == tok.encode(t, add_special_tokens=False).ids
 
 
+def test_ids_of_all_plain_characters_and_long_words():
+    from tokenizers import Tokenizer
+
+    tok = Tokenizer.from_file(packing.default_tokenizer())
+    encode = packing.encoder(packing.default_tokenizer())
+    assert encode.merge is not None
+    rng = random.Random(8)
+    chars = [chr(c) for c in range(0x20, 0x260)]
+    letters = [c for c in chars if c.isalpha()]
+    texts = [c for c in chars] + [f"a{c}b {c}{c} x{c} {c}'s7" for c in chars]
+    texts += ["".join(rng.choices(rng.choice([letters, "ab", "etaoinsr", chars]), k=rng.choice([1, 3, 9, 40, 99, 100, 101, 700]))) for _ in range(500)]
+    want = [tok.encode(t, add_special_tokens=False).ids for t in texts]
+    assert [np.frombuffer(encode(t), "<u4").tolist() for t in texts] == want
+    # Together, plain words and others, empty texts and nulls first, last and between.
+    mixed = [None, "", *texts, "", "日本 <|endoftext|>x <|ENDOFTEXT|>", None, "\n \n", ""]
+    assert [x.tolist() for x in encode.many(pa.array(mixed))] == [tok.encode(t or "", add_special_tokens=False).ids for t in mixed]
+    assert encode.many(pa.array([], pa.string())) == []
+
+
+def test_merges_that_could_differ_are_left_to_the_tokenizer(tmp_path):
+    import json
+
+    from tokenizers import Tokenizer
+
+    with open(packing.default_tokenizer(), encoding="utf-8") as f:
+        file = json.load(f)
+    first = {t: i for t, i in file["model"]["vocab"].items() if i < 512}
+
+    def model(*merges):
+        return file["model"] | {"merges": [list(m) for m in merges], "vocab": first | {a + b: 512 + i for i, (a, b) in enumerate(merges)}}
+
+    # "abc" comes to a, bc: the model has no merge for that pair, though both together are a token.
+    differs = model(("b", "c"), ("a", "b"), ("ab", "c"), ("abc", "d</w>"))
+    assert packing.byte_ranks(differs) is None
+    assert packing.byte_ranks(model(("b", "c"), ("a", "bc"), ("abc", "d</w>"))) is not None
+    assert packing.byte_ranks(model(("b", "c"), ("a", "bc")) | {"dropout": 0.1}) is None
+    path = str(tmp_path / "differs.json")
+    with open(path, "w", encoding="utf-8") as f:
+        json.dump(file | {"model": differs, "added_tokens": []}, f)
+    tok, encode = Tokenizer.from_file(path), packing.encoder(path)
+    for t in ("abcd xabcdx abc", "Abcé ab,cd\nabcd"):
+        assert np.frombuffer(encode(t), "<u4").tolist() == tok.encode(t, add_special_tokens=False).ids
+
+
+def test_new_words_cost_less_than_half_of_the_tokenizer():
+    import os
+
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"
+    from tokenizers import Tokenizer
+
+    tok = Tokenizer.from_file(packing.default_tokenizer())
+    encode = packing.encoder(packing.default_tokenizer())
+    encode("warm")
+    rng = random.Random(9)
+    texts = [" ".join("".join(rng.choices("etaoinshrdluäöüé", k=rng.randrange(4, 14))) + rng.choice(["", "", ",", ".", "***"]) for _ in range(30_000)) for _ in range(3)]
+
+    def seconds(ids):
+        took = []
+        for t in texts:
+            start = time.process_time()
+            ids(t)
+            took.append(time.process_time() - start)
+        return min(took)
+
+    assert seconds(encode) < seconds(lambda t: tok.encode(t, add_special_tokens=False).ids) / 2
+
+
+def test_groups_of_texts():
+    rng = random.Random(3)
+    sizes = [rng.choice([0, 1, 10, packing.TEXTS_BYTES // 3, packing.TEXTS_BYTES, packing.TEXTS_BYTES + 1]) for _ in range(60)]
+    texts = pa.array([None if s == 0 else "x" * s for s in sizes])
+    for part, own in ((texts, sizes), (texts.slice(7, 20), sizes[7:27]), (texts.slice(0, 0), [])):
+        got = list(packing._groups(part))
+        assert [i for a, b in got for i in range(a, b)] == list(range(len(own)))
+        assert all(b - a == 1 or sum(own[a:b]) <= packing.TEXTS_BYTES for a, b in got)
+
+
 def best_fit(lengths, capacity):
     """Sequential best-fit decreasing: the number of sequences."""
     gaps = []
